@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, packing, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES = {"op9_mixing": mixing.SQL}
+ORACLES = {"op1_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
