@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, url_filter
+from . import language, mixing, packing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_language": language.op2_language,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
