@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, simhash, toxicity, url_filter
+from . import html, language, mixing, packing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_language": language.op2_language,
+    "op3_html": html.op3_html,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
