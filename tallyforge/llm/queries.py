@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html, language, mixing, packing, quality, simhash, toxicity, url_filter
+from . import ann, html, language, mixing, packing, quality, simhash, sketch, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
     "op7_ann": ann.op7_ann,
+    "op8_sketch": sketch.op8_sketch,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }

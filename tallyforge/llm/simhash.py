@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Cut, table
@@ -130,9 +130,17 @@ def near_duplicates(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame
 
 
 def keep_one(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame:
-    """The documents without near-duplicates: one of each component stays, that with the smallest id."""
-    kept = near_duplicates(docs, half, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """The documents without near-duplicates: of each component that with the smallest id stays.
+
+    Documents without an id stay. Rows that repeat the id that stays leave one of them.
+    """
+    ids = near_duplicates(docs, half, width).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = Cut(ids.select(F.col("doc_id").alias("__id"), "stays", "n"), "stays").df
+    kept = docs.join(ids.where("not stays").select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
+    if ids.where("stays and n > 1").isEmpty():
+        return kept
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("__nth", nth).where("__nth = 1 or doc_id is null").drop("__nth")
 
 
 def op10_simhash(spark, sf_dir):
