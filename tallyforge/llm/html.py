@@ -165,7 +165,7 @@ class Page:
         self.parents.append(parent)
         self.tags.append(tag)
         path = self.paths[parent]
-        if tag in _BLOCK:
+        if tag in _BLOCK and tag not in ("html", "body"):  # whose classes differ by page, and which pages leave out
             classes = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
             path = f"{path}/{tag}.{classes}" if classes else f"{path}/{tag}"
         self.paths.append(path)
