@@ -82,8 +82,8 @@ program("unique_users_by_type", "events", "t: table unique(10000)[kind: string]
 program("distinct_types", "events", "t: table distinct(100) of kind: string;\nemit t <- input.event_type;", "select distinct event_type kind from events")
 program("distinct_pairs", "lineitem", "t: table distinct(100)[flag: string] of status: string;\nemit t[input.l_returnflag] <- input.l_linestatus;",
         "select distinct l_returnflag flag, l_linestatus status from lineitem")
-program("set_of_flags", "lineitem", "t: table set(2)[status: string] of flag: string;\nemit t[input.l_linestatus] <- input.l_returnflag;",
-        "select distinct l_linestatus status, l_returnflag flag from lineitem where l_linestatus in (select l_linestatus from lineitem group by 1 having count(distinct l_returnflag) <= 2)")
+program("set_of_flags", "lineitem", "t: table set(3)[status: string] of flag: string;\nemit t[input.l_linestatus] <- input.l_returnflag;",
+        "select distinct l_linestatus status, l_returnflag flag from lineitem where l_linestatus in (select l_linestatus from lineitem group by 1 having count(distinct l_returnflag) <= 3)")
 program("collection_of_nations", "nation", "t: table collection[region: int] of name: string;\nemit t[input.n_regionkey] <- input.n_name;",
         "select n_regionkey::bigint region, n_name as name from nation")
 program("text_of_regions", "region", "t: table text of name: string;\nemit t <- uppercase(input.r_name);", "select upper(r_name) as name from region")
@@ -118,10 +118,10 @@ program("longest_words", "documents", 't: table maximum(10) of word: string weig
         "select rank, word, weight from (select w word, length(w) weight, row_number() over (order by length(w) desc, w)::int rank from (select unnest(regexp_extract_all(text, '[a-z]+')) w from documents) where length(w) > 12) where rank <= 10", columns=["text"])
 program("url_domains", "pages", 't: table top(5)[scheme: string] of domain: string weight n: int;\nf: array of string = saw(input.url, "^[a-z]+", "[a-z0-9.-]+");\nif (len(f) == 2) emit t[f[0]] <- f[1] weight 1;',
         "select scheme, rank, domain, count from (select regexp_extract(url, '^([a-z]+)', 1) scheme, regexp_extract(url, '^[a-z]+[^a-z0-9.-]*([a-z0-9.-]+)', 1) domain, count(*) count, row_number() over (partition by scheme order by count(*) desc, domain)::int rank from pages group by 1, 2) where rank <= 5", columns=["url"])
-program("string_functions", "part", """t: table collection[key: int] of { up: string, low: string, size: int, at: int, last: int, first: string, tail: string, has: bool, once: string, each_: string };
+program("string_functions", "part", """t: table collection[key: int] of { up: string, low: string, size: int, found: int, last: int, first: string, tail: string, has: bool, once: string, each_: string };
 n: string = input.p_name;
 emit t[input.p_partkey] <- { uppercase(n), lowercase(n), len(n), strfind("a", n), strrfind("a", n), n[0:3], n[len(n) - 2:len(n)], match("[0-9]", n), strreplace(n, "a", "$", false), strreplace(n, "a", "$", true) };""",
-        """select p_partkey as key, upper(p_name) up, lower(p_name) low, length(p_name) size, instr(p_name, 'a') - 1 at, case when instr(p_name, 'a') = 0 then -1 else length(p_name) - instr(reverse(p_name), 'a') end as last,
+        """select p_partkey as key, upper(p_name) up, lower(p_name) low, length(p_name) size, instr(p_name, 'a') - 1 found, case when instr(p_name, 'a') = 0 then -1 else length(p_name) - instr(reverse(p_name), 'a') end as last,
         substr(p_name, 1, 3) as first, right(p_name, 2) tail, regexp_matches(p_name, '[0-9]') has, regexp_replace(p_name, 'a', '$') once, replace(p_name, 'a', '$') each_ from part""")
 program("matched_groups", "customer", 't: table collection[key: int] of { whole: string, digits: string };\nm: array of string = matchstrs("([A-Za-z]+)#?([0-9]+)", input.c_name);\nif (len(m) > 2) emit t[input.c_custkey] <- { m[0], m[2] };',
         "select c_custkey as key, regexp_extract(c_name, '([A-Za-z]+)#?([0-9]+)', 0) whole, regexp_extract(c_name, '([A-Za-z]+)#?([0-9]+)', 2) digits from customer where regexp_matches(c_name, '([A-Za-z]+)#?([0-9]+)')")
