@@ -39,9 +39,3 @@ def load_bytes(path: str, most: int = 64 << 20) -> bytes:
         raise ValueError(f"{path}: one file of at most {most} bytes is loaded")
     return bytes(found.first()["content"])
 
-
-#: Schemas of the message types that programs import by file name.
-MESSAGES = {
-    "p4stat.proto": {"P4ChangelistStats": {"time": "time"}},
-    "querylog.proto": {"QueryLogProto": {"ip": "string", "time_usec": "time"}},
-}
