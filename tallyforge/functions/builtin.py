@@ -363,9 +363,9 @@ def _load(path) -> Column:
 add("load", [STRING], BYTES, _load, True)
 
 # Arrays and maps
-_of = lambda ts: ts[0].of
 for _p in ([_is_array], [_is_array, STRING]):
     add("sort", _p, lambda ts: ts[0], lambda a, *_: F.array_sort(a))
+add("sortx", [_is_array], Array(INT), lambda a: F.transform(F.array_sort(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i")))), lambda s: s["i"]))
 add("haskey", [_is_map, ANY], BOOL, lambda m, k: F.map_contains_key(m, k))
 add("keys", [_is_map], lambda ts: Array(ts[0].key), lambda m: F.array_sort(F.map_keys(m)))
 add("lookup", [_is_map, ANY, ANY], lambda ts: ts[0].value, lambda m, k, d: F.when(F.map_contains_key(m, k), F.call_function("try_element_at", m, k)).when(m.isNotNull() & k.isNotNull(), d))
