@@ -285,7 +285,7 @@ def sawn(n: Column, s: Column, *patterns: Column) -> Column:
     return F.when(s.isNotNull(), F.aggregate(rounds, _start(s), round_, lambda a: a["out"]))
 
 
-def sawzall(s: Column, *patterns: Column) -> Column:
+def saw_all(s: Column, *patterns: Column) -> Column:
     if len(patterns) == 1:
         return F.filter(F.regexp_extract_all(s, patterns[0], F.lit(0)), lambda x: x != "")
     return sawn(F.greatest(F.length(s), F.lit(1)), s, *patterns)
@@ -293,7 +293,7 @@ def sawzall(s: Column, *patterns: Column) -> Column:
 
 add("saw", [STRING, Varargs(STRING)], Array(STRING), saw)
 add("sawn", [INT, STRING, Varargs(STRING)], Array(STRING), sawn)
-add("sawzall", [STRING, Varargs(STRING)], Array(STRING), sawzall)
+add("sawzall", [STRING, Varargs(STRING)], Array(STRING), saw_all)
 
 # Fingerprints, checks, encodings
 _sha = lambda b: F.conv(F.substring(F.sha1(b), 1, 16), 16, -10).cast("long")

@@ -115,6 +115,10 @@ class Parser:
             self.fail("a name expected")
         return self.next()[1]
 
+    def member(self) -> str:
+        """A member's name, which may be a keyword."""
+        return self.next()[1] if self.kind() == "key" else self.name()
+
     def node(self, kind: str, **at) -> Node:
         return Node(kind, self.tokens[max(0, self.i - 1)][2], at)
 
@@ -344,8 +348,8 @@ class Parser:
 
     def component(self) -> tuple[str | None, Node]:
         name = None
-        if self.kind() == "name" and self.peek(":", ahead=1):
-            name = self.name()
+        if self.kind() in ("name", "key") and self.peek(":", ahead=1):
+            name = self.member()
             self.i += 1
         return name, self.type()
 
@@ -369,7 +373,7 @@ class Parser:
     def postfix(self, of: Node) -> Node:
         while True:
             if self.take("."):
-                of = self.node("field", of=of, name=self.name())
+                of = self.node("field", of=of, name=self.member())
             elif self.take("["):
                 first = self.expr()
                 if self.take(":"):

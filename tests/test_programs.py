@@ -194,6 +194,12 @@ def test_literals_and_operators(spark):
     assert dict(rows(made["t"])) == {"hex": "42", "div": "-3,-1", "bits": str((1 << 5 | 3) & ~1 ^ 8), "slice": "bcdea", "raw": r"a\n", "bytes": "xyAB", "fp": "ff", "array": "3", "not": "true", "map": "13a", "format": '3- 2.50-x-"y"'}
 
 
+def test_members_may_be_keywords(spark):
+    df = spark.createDataFrame([("a", 5)], "type string, bytes long")
+    made = compile_program("t: table sum[type: string] of { bytes: int, n: int };\nemit t[input.type] <- { input.bytes, 1 };", df)
+    assert rows(made["t"]) == [("a", 5, 1)]
+
+
 def test_include(spark):
     made = run(spark, 'include "x.inc"\nemit t <- 1;', ["a"], include={"x.inc": "t: table sum of int;\n"}.get)
     assert rows(made["t"]) == [(1,)]
