@@ -34,17 +34,8 @@ def micros(clock: Column, zone=None) -> Column:
 
 def plus(t: Column, n: Column, unit: str, by: int, zone=None) -> Column:
     """Calendar days or months on a zone's clock; a day that a month lacks becomes its last."""
-    clock = local(t, zone)
-    if unit == "DAY":
-        moved = F.call_function("dateadd", clock.cast("date"), (n * by).cast("int"))
-    else:
-        moved = F.add_months(clock.cast("date"), (n * by).cast("int"))
-    return micros(_join(moved, clock), zone)
-
-
-def _join(day: Column, clock: Column) -> Column:
-    """A date with the time of day of a clock."""
-    return F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), F.hour(clock), F.minute(clock), F.extract(F.lit("SECOND"), clock))
+    step = F.make_dt_interval(n * by) if unit == "DAY" else F.make_ym_interval(F.lit(0), (n * by).cast("int"))
+    return micros(local(t, zone) + step, zone)
 
 
 def truncated(t: Column, unit: str, zone=None) -> Column:
@@ -53,13 +44,10 @@ def truncated(t: Column, unit: str, zone=None) -> Column:
         return t - F.pmod(t, F.lit(1_000_000))
     if unit == "MINUTE":
         return t - F.pmod(t, F.lit(60_000_000))
-    clock, zero, one = local(t, zone), F.lit(0), F.lit(1)
     if unit == "HOUR":
-        within = F.minute(clock) * 60_000_000 + F.pmod(t, F.lit(60_000_000))
-        return t - within
-    month = one if unit == "YEAR" else F.month(clock)
-    day = F.dayofmonth(clock) if unit == "DAY" else one
-    return micros(F.make_timestamp_ntz(F.year(clock), month, day, zero, zero, F.lit(0).cast("decimal(16,6)")), zone)
+        return t - (F.minute(local(t, zone)) * 60_000_000 + F.pmod(t, F.lit(60_000_000)))
+    day = local(t, zone).cast("date")
+    return micros((day if unit == "DAY" else F.trunc(day, unit)).cast("timestamp_ntz"), zone)
 
 
 def abbreviation(t: Column, zone=None) -> Column:

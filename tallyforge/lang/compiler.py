@@ -105,6 +105,14 @@ def uses(node, name: str) -> bool:
     return isinstance(node, Node) and (node.kind == "name" and node.name == name or any(uses(v, name) for v in node.at.values()))
 
 
+def _chain(n: Node, env: dict) -> tuple | None:
+    """A variable, or a member of one, by its names."""
+    if n.kind == "field":
+        above = _chain(n.of, env)
+        return above and (*above, n.name)
+    return (n.name,) if n.kind == "name" and isinstance(env.get(n.name), V) else None
+
+
 class Compiler:
     def __init__(self, df: DataFrame, registry: Registry = BUILTIN, protos: dict | None = None, include=None):
         self.registry, self.protos, self.include = registry, protos or {}, include
@@ -366,9 +374,17 @@ class Compiler:
             if mentions(n.body, "emit", "return", "result"):
                 raise Unsupported("a loop that carries values and emits")
             return self._fold(n, name, steps, sorted(c for c in carried if isinstance(env.get(c), V)), env, path)
-        inner, child = self._exploded(env, path, {name: (INT, steps)})
+        inner, child = self._exploded(env, path, {name: (INT, steps, self._elements(n, name, env))})
         self.statement(n.body, inner, child)
 
+    def _elements(self, n: Node, name: str, env: dict) -> Node | None:
+        """The array that a loop runs over from its first element to its last, if it does just that."""
+        limit, start = n.test.right, n.first.value
+        whole = n.test.op == "<" and n.step.kind == "step" and n.step.op == "++" and start.kind == "literal" and start.value == 0
+        if whole and limit.kind == "call" and limit.of.kind == "name" and limit.of.name == "len" and "len" not in env and len(limit.args) == 1:
+            return limit.args[0]
+        return None
+
     def _counts(self, n: Node, env: dict, path: Path) -> tuple[str, Column]:
         """The variable of a counting loop and the array of its values."""
         first, test, step = n.first, n.test, n.step
@@ -391,17 +407,29 @@ class Compiler:
         return name, F.when(some, F.sequence(start.cast("long"), last.cast("long"), F.lit(by).cast("long")))
 
     def _exploded(self, env: dict, path: Path, names: dict) -> tuple[dict, Path]:
-        """A frame with a row for each value of the arrays, of the rows that get here."""
+        """A frame with a row for each value of the arrays, of the rows that get here.
+
+        ``names``: type, values, and the node of the array whose indices they all are, if there is
+        one: then its elements come along, and no row needs the whole array.
+        """
         if path.frame.df is None:
             raise Unsupported("rows from inside a value")
         df, live = path.frame.df, path.live()
         if live is not None:
             df = df.where(live)
         child, inner = Frame(df, self._names), dict(env)
-        for name, (t, values) in names.items():
-            column = f"__v{next(self._names)}"
-            child.df = child.df.withColumn(column, F.explode(values))
-            inner[name] = V(t, F.col(column))
+        for name, (t, values, of) in names.items():
+            key = _chain(of, inner) if of is not None else None
+            array = self.expr(of, inner, Path(child)) if key else None
+            if array is not None and isinstance(array.type, Array):
+                at, element = f"__v{next(self._names)}", f"__v{next(self._names)}"
+                child.df = child.df.select("*", F.posexplode(array.col).alias(at, element))
+                inner[name] = V(INT, F.col(at).cast("long"))
+                inner["[]", key, name] = inner[key[0]], inner[name], V(array.type.of, F.col(element))
+            else:
+                column = f"__v{next(self._names)}"
+                child.df = child.df.withColumn(column, F.explode(values))
+                inner[name] = V(t, F.col(column))
         return inner, Path(child)
 
     def _fold(self, n: Node, name: str, steps: Column, carried: list[str], env: dict, path: Path) -> None:
@@ -420,7 +448,7 @@ class Compiler:
 
     def _do_when(self, n, env, path):
         ranges = {v: self._range(v, n, env, path) for v, _, _ in n.names}
-        each = {v: ranges[v] for v, kind, _ in n.names if kind == "each"}
+        each = {v: (*ranges[v], self._ranged(v, n)) for v, kind, _ in n.names if kind == "each"}
         inner, child = self._exploded(env, path, each) if each else (dict(env), replace(path))
         rest = [(v, kind) for v, kind, _ in n.names if kind != "each"]
 
@@ -459,6 +487,14 @@ class Compiler:
 
     def _range(self, v: str, n: Node, env: dict, path: Path) -> tuple:
         """The values of a quantified variable: the indices of what it indexes."""
+        values = self.expr(self._ranged(v, n), env, path)
+        if isinstance(values.type, Map):
+            return values.type.key, F.map_keys(values.col)
+        size = self.registry.find("len", [values.type]).build(values.col)
+        return INT, F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def _ranged(self, v: str, n: Node) -> Node:
+        """What a quantified variable indexes."""
 
         def search(x):
             if isinstance(x, (list, tuple)):
@@ -472,11 +508,7 @@ class Compiler:
         of = search(n.test) or search(n.body)
         if of is None:
             raise TypeProblem(f"line {n.line}: nothing says what {v} ranges over")
-        values = self.expr(of, env, path)
-        if isinstance(values.type, Map):
-            return values.type.key, F.map_keys(values.col)
-        size = self.registry.find("len", [values.type]).build(values.col)
-        return INT, F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
+        return of
 
     def _do_emit(self, n, env, path):
         t = env.get(n.table)
@@ -652,6 +684,10 @@ class Compiler:
             self.lengths.pop()
 
     def _of_index(self, n, env, path):
+        if n.index.kind == "name" and (key := _chain(n.of, env)) and ("[]", key, n.index.name) in env:
+            base, at, element = env["[]", key, n.index.name]
+            if env[key[0]] is base and env[n.index.name] is at:
+                return element
         of = self.expr(n.of, env, path)
         i = self._indexed(n.index, of, env, path)
         if isinstance(of.type, Map):

@@ -41,6 +41,11 @@ def test_quantiles_go_by_ranges(spark):
     assert "rangepartitioning" in text
 
 
+def test_exploded_rows_do_not_carry_the_array(spark):
+    assert re.search(r"Arguments: posexplode\(\S+\), false, \[", plan(catalog.QUERIES["word_count"](spark, SF)))
+    assert re.search(r"Arguments: posexplode\(\S+\), \[label#\d+\], false, \[", plan(catalog.QUERIES["when_each"](spark, SF)))
+
+
 def test_loops_stay_columns(spark):
     for name in ("word_count", "when_some", "folded_loop", "switched", "user_functions"):
         assert "Python" not in plan(catalog.QUERIES[name](spark, SF)) and "Pandas" not in plan(catalog.QUERIES[name](spark, SF))
