@@ -81,8 +81,11 @@ def ball(fp: Column, half: int) -> Column:
 
 def links(distinct: DataFrame, half: int = 1) -> DataFrame:
     """Verified links (a, b), a < b, that connect what lies within ``2 * half`` bits."""
-    variants = distinct.select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
-    met = variants.groupBy("variant").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    # dealt out first, as a few files of fingerprints make many variants, and then by variant, as almost
+    # no two variants of a task are equal and grouping them there only sorts
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = distinct.select("fp").repartition(parts, "fp").select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
+    met = variants.repartition("variant").groupBy("variant").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     pairs = met.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * half)
 
