@@ -49,6 +49,22 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class _Words(dict):
+    """Ids by word; a word that is not here comes from the older generation, or is made."""
+
+    __slots__ = ("fresh", "old")
+
+    def __init__(self, fresh, old: dict[str, bytes]):
+        self.fresh, self.old = fresh, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.fresh(word)
+        self[word] = ids
+        return ids
+
+
 class WordTokens:
     """Ids of texts as little-endian bytes, remembering words.
 
@@ -58,7 +74,7 @@ class WordTokens:
     Two generations of at most ``limit`` words bound the memory.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         byte = _byte_of()
         with open(path) as f:
@@ -76,17 +92,7 @@ class WordTokens:
         self._renew({})
 
     def _renew(self, old: dict[str, bytes]) -> None:
-        fresh, parent = self._fresh, old
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = parent.get(word)
-                if ids is None:
-                    ids = fresh(word)
-                self[word] = ids
-                return ids
-
-        self._words = Words()
+        self._words = _Words(self._fresh, old)
         self._get = self._words.__getitem__
 
     def _fresh(self, word: str) -> bytes:
@@ -106,7 +112,7 @@ class WordTokens:
             out.append(b"".join(map(self._get, text[at:end].replace("\n", " ").split(" "))))
             at = end
             if len(self._words) > self.limit:
-                self._renew(self._words)
+                self._renew(dict(self._words))  # a plain copy, which does not keep its own elders
         return b"".join(out)
 
 
@@ -217,13 +223,18 @@ class Packer:
 _tokens: dict[str, WordTokens] = {}
 
 
+def tokens_for(vocab: str) -> WordTokens:
+    """The words a process remembers; found by name, so that tasks of one process share them."""
+    if vocab not in _tokens:
+        _tokens[vocab] = WordTokens(vocab)
+    return _tokens[vocab]
+
+
 def pack(docs: DataFrame, vocab: str, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text); ``vocab``: the tokenizer's file, there on every machine."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocab not in _tokens:
-            _tokens[vocab] = WordTokens(vocab)
-        tokens, end = _tokens[vocab], closing.to_bytes(4, "little")
+        tokens, end = tokens_for(vocab), closing.to_bytes(4, "little")
         packer = Packer(capacity, first=TaskContext.get().partitionId() << 32)
 
         def rows() -> pa.RecordBatch:
