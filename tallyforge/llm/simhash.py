@@ -33,6 +33,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles hashed at a time, which bounds the memory of a long text.
 CHUNK = 1 << 16
+#: So many ids, of 8 bytes, are broadcast at most.
+BROADCAST_IDS = 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> Iterator[np.ndarray]:
@@ -139,7 +141,10 @@ def keep_one(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame:
     """
     ids = near_duplicates(docs, half, width).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
     ids = Cut(ids.select(F.col("doc_id").alias("__id"), "stays", "n"), "stays").df
-    kept = docs.join(ids.where("not stays").select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
+    gone = Cut(ids.where("not stays").select("__id"), "gone").df
+    if gone.count() <= BROADCAST_IDS:  # then no text is shuffled
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
     if ids.where("stays and n > 1").isEmpty():
         return kept
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
