@@ -27,6 +27,8 @@ from .scratch import Cut, ranked, table
 
 SLICE, FIRST_CELLS, SWEEPS = 160, 8, 3
 PAIR_EDITED, PAIR_NEXT, OWN, EDITED, PEELED, SIZES, SHA = 0, 1, 2, 3, 4, 8, 9
+#: The keys of so many pairs, 32 bytes each, are broadcast at most.
+BROADCAST_PAIRS = 1 << 19
 
 
 def digests(text: Column) -> Column:
@@ -72,6 +74,11 @@ def successors(docs: DataFrame) -> DataFrame:
 def _cells(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int) -> DataFrame:
     """The cells of all sketches of ``pairs``: k1, k2, p, cells, cell, cnt, key, chk."""
     keyed = _keyed(docs).select("k1", "k2", "text")
+    if attempt:  # only the texts of the pairs that are left
+        wanted = pairs.select(F.col("k1").alias("w1"), F.col("k2").alias("w2")).union(pairs.select("s1", "s2")).distinct()
+        if pairs.count() <= BROADCAST_PAIRS:
+            wanted = F.broadcast(wanted)
+        keyed = keyed.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")), "left_semi")
     if not once:
         keyed = keyed.dropDuplicates(["k1", "k2"])
     needs = pairs.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "s1", "s2")
