@@ -1,11 +1,13 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, none lost.
 
 Full-dimensional codebooks are fitted on the driver to a bounded, documented sample (SAMPLE
 vectors, and at most SAMPLE_BYTES): by k-means on residuals, then by least squares against codes.
-Every distinct vector is encoded by beam search and stored with its codes and the squared norm of
-its reconstruction. A search adds up tables of inner products of a query with each code word, takes
-the nearest DEPTH share of each block of rows, and ranks those again on the original vectors in
-double precision.
+Every distinct vector is encoded by beam search and stored with its codes, the squared norm of its
+reconstruction, and the length of what that leaves of it. A search adds up tables of inner products
+of a query with each code word, takes the nearest DEPTH share of each block of rows, and ranks those
+again on the original vectors in double precision. Then it ranks every other row whose score by
+tables and whose length of what is left allow it to reach the last of the best: no neighbour is
+lost, and where codes cannot tell rows apart, more rows are ranked.
 
 Equal vectors are indexed once with as many of their smallest ids as can be asked for, so a vector
 that many rows repeat costs one row. Queries are taken in bounded chunks that are broadcast; the
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .scratch import Cut, table
 
 BOOKS, WORDS, BEAM, SAMPLE, SAMPLE_BYTES = 24, 64, 8, 20_000, 32 << 20
-#: The share of a block's rows that is ranked again, and the least number of them.
+#: The share of a block's rows that is ranked again first, and the least number of them.
 DEPTH, LEAST_DEPTH, BLOCK, QUERY_BYTES = 0.04, 200, 16_384, 32 << 20
 
 
@@ -92,6 +94,13 @@ class Codebooks:
             self = cls(np.linalg.solve(gram, right).reshape(books, words, -1).astype(np.float32))
         return self
 
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """The sums of the words of codes, in double precision."""
+        made = np.zeros((len(codes), self.words.shape[2]))
+        for m, words in enumerate(self.words):
+            made += words[codes[:, m]]
+        return made
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products: queries x books x words."""
         books, k, d = self.words.shape
@@ -111,12 +120,21 @@ class Best:
         self.score[q], self.row[q] = np.take_along_axis(score, order, 1), np.take_along_axis(row, order, 1)
 
 
-def search_block(books: Codebooks, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best, measure: str, step: int = 256) -> None:
-    """Score a block by tables, rank the nearest share again exactly, and merge it into ``best``."""
+def search_block(books: Codebooks, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, rests: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best, measure: str, step: int = 256) -> None:
+    """Score a block by tables, rank the nearest share again exactly, then all others that can still reach the best, and merge them into ``best``."""
     depth = min(len(ids), max(LEAST_DEPTH, best.score.shape[1] + 1, int(DEPTH * len(ids))))
     columns = np.ascontiguousarray(codes.T).astype(np.intp)
+    squares = (vectors**2).sum(1)
+    # what single precision can err by in a sum of table entries, for a query of length 1
+    longest = np.sqrt((books.words.astype(np.float64) ** 2).sum(2).max(1)).sum()
+    err, tiny = (vectors.shape[1] + len(columns) + 4) * float(np.finfo(np.float32).eps) * longest, 1e-37 * (1 + longest)
+
+    def scores(dots: np.ndarray, square: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return -np.sqrt(np.maximum(0, square - 2 * dots + of)) if measure == "l2" else dots
+
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
+        square = (q**2).sum(1)[:, None]
         tables = books.tables(q)
         rough = np.take(tables[:, 0], columns[0], axis=1)
         for m in range(1, len(columns)):
@@ -125,9 +143,30 @@ def search_block(books: Codebooks, queries: np.ndarray, codes: np.ndarray, norms
             rough = 2 * rough - norms
         near = np.argpartition(-rough, depth - 1, axis=1)[:, :depth] if depth < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
         exact = np.stack([vectors[near[i]] @ q[i] for i in range(len(q))])
+        best.merge(slice(at, at + len(q)), scores(exact, square, squares[near]), ids[near])
+        if depth == len(ids):
+            continue
+        # no row scores more than this: its code's score and the length of what its code leaves
+        length = np.sqrt(square)
         if measure == "l2":
-            exact = -np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * exact + (vectors**2).sum(1)[near]))
-        best.merge(slice(at, at + len(q)), exact, ids[near])
+            most = rests - np.sqrt(np.maximum(0, square - rough - err * (2 * length + longest) - tiny)) + 1e-7 * (length + longest + rests)
+        else:
+            most = rough + length * (rests * (1 + 1e-9) + err) + tiny
+        open_ = ~(most < best.score[at : at + len(q), -1:]) | ~np.isfinite(rough)
+        np.put_along_axis(open_, near, False, axis=1)
+        count = open_.sum(1)
+        many = np.flatnonzero(count > len(ids) // 16)  # one product of matrices costs less than picking rows
+        whole = dict(zip(many.tolist(), q[many] @ vectors.T)) if len(many) else {}
+        for i in np.flatnonzero(count):
+            rows = np.flatnonzero(open_[i])
+            found = scores(whole[i][rows] if i in whole else vectors[rows] @ q[i], square[i], squares[rows])
+            reach = ~(found < best.score[at + i, -1])
+            if reach.any():
+                found, rows = found[reach], rows[reach]
+                if len(found) > best.score.shape[1]:  # with all that tie with the last
+                    reach = found >= np.partition(found, -best.score.shape[1])[-best.score.shape[1]]
+                    found, rows = found[reach], rows[reach]
+                best.merge(slice(at + i, at + i + 1), found[None], ids[rows][None])
 
 
 def usable(vector: Column) -> Column:
@@ -181,11 +220,14 @@ def _index(distinct: DataFrame, books, n: int) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes, norms = books.value.encode(_floats(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["row", "v", "codes", "norm"])
+                x = _floats(batch.column("v"))
+                codes, _ = books.value.encode(x)
+                sums = books.value.sums(codes)
+                norms, rests = (sums**2).sum(1).astype(np.float32), np.sqrt(((x - sums) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(rests)], ["row", "v", "codes", "norm", "rest"])
 
     parts = max(1, -(-n // BLOCK), min(8, -(-n // 512)))
-    schema = f"row long, v {distinct.schema['v'].dataType.simpleString()}, codes binary, norm float"
+    schema = f"row long, v {distinct.schema['v'].dataType.simpleString()}, codes binary, norm float, rest double"
     return Cut(distinct.select("row", "v").repartition(parts, "row").mapInArrow(encoded, schema), "index").df
 
 
@@ -211,7 +253,7 @@ def _search_chunk(index: DataFrame, books, chunk: tuple[np.ndarray, np.ndarray],
         def flush() -> None:
             arrow = pa.Table.from_batches(held)
             codes = np.frombuffer(b"".join(arrow["codes"].to_pylist()), np.uint8).reshape(arrow.num_rows, -1)
-            search_block(books.value, q_vectors, codes, arrow["norm"].to_numpy(), _floats(arrow["v"]), arrow["row"].to_numpy(), best, measure)
+            search_block(books.value, q_vectors, codes, arrow["norm"].to_numpy(), arrow["rest"].to_numpy(), _floats(arrow["v"]), arrow["row"].to_numpy(), best, measure)
 
         for batch in batches:
             held.append(batch)

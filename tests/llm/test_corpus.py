@@ -178,6 +178,21 @@ def test_euclidean_search(spark):
         assert r["vec_id"] == np.argsort(d)[r["rank"]] and abs(r["score"] + d[r["vec_id"]]) < 1e-6
 
 
+@pytest.mark.parametrize("measure", ["ip", "l2"])
+def test_search_of_a_dense_group_loses_nothing(spark, measure):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16))
+    x[::3] = x[0] * (1 + 1e-3 * rng.normal(size=(2000, 16)))  # codes cannot order these
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.search(df, df["vec_id"] % 300 == 0, 10, measure).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 6000, 300):
+        scores = x @ x[q] if measure == "ip" else -((x - x[q]) ** 2).sum(1)
+        scores[q] = -np.inf
+        assert found[q] == np.argsort(-scores)[:10].tolist()
+
+
 def test_beam_codes_add_up():
     x = np.random.default_rng(2).normal(size=(500, 8)).astype(np.float32)
     books = ann.Codebooks.fit(x, 4, 16)
