@@ -5,7 +5,9 @@ sketch of the set of their digests has three subtables; a digest goes to one cel
 cell holds a count, the exclusive or of its digests, and that of their checks. Cells of two
 versions subtract, and cells that hold a single digest are peeled, a subtable at a time, until
 none is left: what was peeled are the digests in which the versions differ. Where cells remain,
-the pair is sketched again, four times as large.
+the pair is sketched again, four times as large, whatever that size, and with one more sweep; pairs
+that no attempt peels are compared by grouping their digests one by one, so every pair gets its
+result.
 
 All of this is grouping by document and cell in the partitions that the join of a document with
 its successor leaves, so text is shuffled once and cells never. The order of documents is found
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .scratch import Cut, ranked, table
 
 SLICE, FIRST_CELLS, SWEEPS = 160, 8, 3
+#: A retry sweeps once more than the attempt before it, so many times more at most.
+MORE_SWEEPS = 3
 PAIR_EDITED, PAIR_NEXT, OWN, EDITED, PEELED, SIZES, SHA = 0, 1, 2, 3, 4, 8, 9
 #: The keys of so many pairs, 32 bytes each, are broadcast at most.
 BROADCAST_PAIRS = 1 << 19
@@ -42,16 +46,21 @@ def _check(key: Column) -> Column:
 
 
 def _place(key: Column, sub: Column, cells: Column) -> Column:
-    """The cell of a key in a subtable of ``cells``, a power of two up to 2^20; halving ``cells`` folds cells together."""
+    """The cell of a key in a subtable of ``cells``, a power of two; halving ``cells`` folds cells together.
+
+    The lowest 20 bits are a field of one hash, those above come from a hash of the subtable's own.
+    """
     h = F.xxhash64(key, F.lit(1))
     field = F.when(sub == 0, h).when(sub == 1, F.shiftrightunsigned(h, 20)).otherwise(F.shiftrightunsigned(h, 40))
-    return sub.cast("long") * cells + field.bitwiseAND(cells - 1)
+    above = F.shiftleft(F.xxhash64(key, F.lit(2), sub.cast("int")), 20)
+    wide = F.when(cells > 1 << 20, field.bitwiseAND((1 << 20) - 1).bitwiseOR(above)).otherwise(field)
+    return sub.cast("long") * cells + wide.bitwiseAND(cells - 1)
 
 
 def _cells_for(n: Column, attempt: int) -> Column:
     """Cells of a subtable for up to ``n`` differing digests: 3 subtables hold 2.4 to 4.8 cells a digest."""
     wanted = F.greatest(F.lit(4.0), 0.8 * n)
-    return F.least(F.lit(1 << 20), F.pow(F.lit(2.0), F.ceil(F.log2(wanted)) + 2 * attempt).cast("long"))
+    return F.pow(F.lit(2.0), F.ceil(F.log2(wanted)) + 2 * attempt).cast("long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -71,8 +80,11 @@ def successors(docs: DataFrame) -> DataFrame:
     return Cut(rows.join(follows, F.col("rank") == F.col("of")).drop("rank", "of"), "sketch-successors").df
 
 
-def _cells(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int) -> DataFrame:
-    """The cells of all sketches of ``pairs``: k1, k2, p, cells, cell, cnt, key, chk."""
+def _cells(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int, exact: bool = False) -> DataFrame:
+    """The cells of all sketches of ``pairs``: k1, k2, p, cells, cell, cnt, key, chk.
+
+    If ``exact``, the pairs' digests are grouped one by one instead, and come out as if peeled.
+    """
     keyed = _keyed(docs).select("k1", "k2", "text")
     if attempt:  # only the texts of the pairs that are left
         wanted = pairs.select(F.col("k1").alias("w1"), F.col("k2").alias("w2")).union(pairs.select("s1", "s2")).distinct()
@@ -95,6 +107,8 @@ def _cells(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int) -> DataF
     entries = made.select("k1", "k2", "c0", "c1", F.explode(F.concat(*kinds, F.array(*plain))).alias("i")).select("k1", "k2", "c0", "c1", "i.t", "i.key")
     # which sketches an entry goes to: 3 * sketch + subtable; a negative number passes a plain value on
     spots = {0: [3 * p + s for p in (PAIR_EDITED, PAIR_NEXT, OWN) for s in range(3)], 1: [3 * p + s for p in (PAIR_EDITED, EDITED) for s in range(3)], 2: [3 * PAIR_NEXT + s for s in range(3)]}
+    if exact:  # once to each pair
+        spots = {t: [n for n in to if n >= 3 * OWN or n % 3 == 0] for t, to in spots.items()}
     goes = F.when(F.col("t") == 0, F.array(*map(F.lit, spots[0]))).when(F.col("t") == 1, F.array(*map(F.lit, spots[1]))).when(F.col("t") == 2, F.array(*map(F.lit, spots[2]))).otherwise(F.array(F.lit(-1)))
     spread = entries.withColumn("to", F.explode(goes))
     is_plain = F.col("to") < 0
@@ -104,7 +118,14 @@ def _cells(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int) -> DataF
     spread = spread.withColumn("cells", cells)
     cell = F.when(is_plain, (F.col("t") % 10).cast("long")).otherwise(_place(F.col("key"), F.col("to") % 3, F.col("cells")))
     count = F.when(is_plain, 0).when((F.col("p") <= PAIR_NEXT) & (F.col("t") > 0), -1).otherwise(1).cast("long")
-    return _summed(spread.select("k1", "k2", "p", "cells", cell.alias("cell"), count.alias("cnt"), "key", F.when(is_plain, 0).otherwise(_check(F.col("key"))).cast("long").alias("chk")))
+    if exact:
+        in_pair = F.col("p") <= PAIR_NEXT
+        cell, p = F.when(in_pair, F.col("key")).otherwise(cell), F.when(in_pair, F.col("p") + PEELED).otherwise(F.col("p"))
+        cells = F.when(in_pair, 0).otherwise(F.col("cells")).cast("long")
+    else:
+        p, cells = F.col("p"), F.col("cells")
+    summed = _summed(spread.select("k1", "k2", p.cast("int").alias("p"), cells.alias("cells"), cell.alias("cell"), count.alias("cnt"), "key", F.when(is_plain, 0).otherwise(_check(F.col("key"))).cast("long").alias("chk")))
+    return summed.where(~F.col("p").isin(PAIR_EDITED + PEELED, PAIR_NEXT + PEELED) | (F.col("cnt") != 0)) if exact else summed
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -112,9 +133,9 @@ def _summed(rows: DataFrame) -> DataFrame:
     return summed.where((F.col("p") > PAIR_NEXT) | (F.col("cnt") != 0) | (F.col("key") != 0) | (F.col("chk") != 0))
 
 
-def _peeled(rows: DataFrame) -> DataFrame:
+def _peeled(rows: DataFrame, sweeps: int) -> DataFrame:
     """Peel the pairs' sketches, one subtable after the other, in which a digest has one cell only."""
-    for sub in [0, 1, 2] * SWEEPS:
+    for sub in [0, 1, 2] * sweeps:
         pure = (F.col("p") <= PAIR_NEXT) & (F.abs("cnt") == 1) & (F.floor(F.col("cell") / F.col("cells")) == sub) & (_check(F.col("key")) == F.col("chk"))
         cell = lambda p, at, sign: F.struct(p.cast("int").alias("p"), F.col("cells"), at.cast("long").alias("cell"), (sign * F.col("cnt")).alias("cnt"), F.col("key"), F.col("chk"))
         same = cell(F.col("p"), F.col("cell"), F.lit(1))
@@ -143,8 +164,10 @@ def _likeness(pair: int, other: int) -> Column:
     return F.when(size(0) + size(other) == 0, 1.0).otherwise((size(0) - own_only) / (size(0) + other_only))
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int) -> DataFrame:
-    rows = _peeled(_cells(docs, pairs, once, attempt))
+def _compared(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int, exact: bool = False) -> DataFrame:
+    rows = _cells(docs, pairs, once, attempt, exact)
+    if not exact:
+        rows = _peeled(rows, SWEEPS + min(attempt, MORE_SWEEPS))
     gathered = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "cell", "cnt", "key", "chk")).alias("cells"))
     part = lambda p, keep: F.transform(F.filter("cells", lambda c: (c["p"] == p + PEELED) & keep(c["cnt"])), lambda c: c["key"])
     sha = F.array_join(F.transform(F.array_sort(F.transform(F.filter("cells", lambda c: c["p"] == SHA), lambda c: F.struct(c["cell"].alias("i"), c["key"].alias("v")))), lambda c: _hex(c["v"], 16)), "")
@@ -169,7 +192,8 @@ def fingerprints(docs: DataFrame, attempts: int = 9) -> DataFrame:
             break
         todo = Cut(todo.join(failed, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left_semi"), "sketch-retry").df
     else:
-        raise RuntimeError(f"sketches did not peel in {attempts} attempts")
+        got = Cut(_compared(docs, todo, once, attempts, exact=True), "sketches").df
+        found = got if found is None else found.union(got)
     named = pairs.select("k1", "k2", "doc_id", "n_chars", "times").join(found, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")))
     if not once:
         named = named.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

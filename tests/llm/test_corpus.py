@@ -255,6 +255,24 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert len({r["fingerprint"] for r in found if r["doc_id"] < 5}) == 1 and len({r["fingerprint"] for r in found}) == 2
 
 
+def test_sketches_that_never_peel_are_compared_exactly(spark):
+    docs = documents(spark, [r for r in EDGES if r[0] is not None] + [(1000 + i, t, lang, s) for i, t, lang, s in random_docs(40, 9)])
+    peeled = sorted(sketch.fingerprints(docs).collect(), key=str)
+    assert peeled and sorted(sketch.fingerprints(docs, attempts=0).collect(), key=str) == peeled
+
+
+def test_subtables_grow_beyond_twenty_bits(spark):
+    sizes = spark.range(1).select(*[sketch._cells_for(F.lit(2_000_000), a).alias(str(a)) for a in range(3)]).first()
+    assert list(sizes) == [1 << 21, 1 << 23, 1 << 25]
+    cells, keys = F.lit(1 << 22), spark.range(1 << 17).select(F.xxhash64("id").alias("key"))
+    for sub in range(3):
+        place = sketch._place(F.col("key"), F.lit(sub), cells.cast("long"))
+        low, high, n = keys.select(F.min(place), F.max(place), F.countDistinct(place)).first()
+        assert sub << 22 <= low and (sub << 22) + (7 << 19) < high < (sub + 1) << 22 and n > 0.97 * (1 << 17)
+        folded = sketch._place(F.col("key"), F.lit(sub), F.lit(1 << 20).cast("long")).bitwiseAND((1 << 20) - 1)
+        assert keys.where(folded != place.bitwiseAND((1 << 20) - 1)).isEmpty()
+
+
 # Mixing
 
 
