@@ -50,6 +50,13 @@ def test_url_edges(spark):
     assert url_filter.judge(pages, none).where("rule is null and verdict = 'allow'").count() == 8
 
 
+def test_an_empty_path_does_not_move_to_a_later_address(spark):
+    urls = ["http://example.com?u=http://a.b/de/x", "http://example.com#http://a.b/de/x", "http://example.com", "http://example.com/fr/?u=http://a.b/de/x", "http://example.com/de/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = sorted(url_filter.judge(pages, url_filter.rules_table(spark, url_filter.RULES)).collect())
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in found] == [("example.com", "", None, "allow")] * 3 + [("example.com", "/fr/", "com/fr/", "allow"), ("example.com", "/de/x", "com/de/", "block")]
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     bloom = url_filter.Bloom.of(keys, "key")
