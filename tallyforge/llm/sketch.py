@@ -9,6 +9,10 @@ the pair is sketched again, four times as large, whatever that size, and with on
 that no attempt peels are compared by grouping their digests one by one, so every pair gets its
 result.
 
+The published sketches, fingerprint and edited_fingerprint, have 3 x FIRST_CELLS cells whatever a
+document holds: two of them that differ in more than about 19 digests cannot be subtracted and
+peeled. Likeness, removed and added come from a pair's own sketches, sized by both sets.
+
 All of this is grouping by document and cell in the partitions that the join of a document with
 its successor leaves, so text is shuffled once and cells never. The order of documents is found
 by range ranks of their ids, not by a window over all.
