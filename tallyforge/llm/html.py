@@ -3,7 +3,8 @@
 Each page is parsed into elements and blocks of text. A block credits its container, and half as
 much the container above; links credit nothing, and elements that by tag, class, id or role hold
 menus, notices, adverts, forms, comments and the like are left out. A page votes for the
-generalised tag-class path of its best container, with that container's share of the page. Votes
+generalised tag-class path of its best container, or of the nearest article or main around that, as
+a title and a lead stand beside the body there, with that container's share of the page. Votes
 are summed by host in Spark, and pages are extracted again from the containers with the host's
 winning path (the next winning one if a page lacks the first, and its own best container if it
 lacks all).
@@ -204,12 +205,19 @@ class Page:
         return found
 
     def best(self) -> tuple[int, float]:
-        """The container with most credit (ties: the first), and its share."""
+        """The container with most credit (ties: the first), or the article or main around it, and its share."""
         found = self.credits()
         if not found:
             return 0, 0.0
         e = min(found, key=lambda e: (-found[e], e))
-        return e, found[e] / (sum(len(t) for _, t, _ in self.blocks) or 1)
+        return self._whole(e), found[e] / (sum(len(t) for _, t, _ in self.blocks) or 1)
+
+    def _whole(self, e: int) -> int:
+        """The nearest article or main that a container is or lies in, else the container."""
+        at = e
+        while at > 0 and self.tags[at] not in ("article", "main"):
+            at = self.parents[at]
+        return at if at > 0 else e
 
     def text(self, paths: list[str]) -> str:
         own = self._under({self.best()[0]})

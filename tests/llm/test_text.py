@@ -131,6 +131,18 @@ def test_main_text(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_keeps_what_stands_beside_the_body(spark):
+    body = "".join(f"<p>{'long text ' * 30}{i}</p>" for i in range(4))
+    page = "<body><div class=menu>Menu</div><article><h1>Title {n}</h1><p>Lead.</p><div class=body>" + body + "</div><div class=share>Share</div></article><p>Below</p></body>"
+    pages = spark.createDataFrame([(n, f"http://h.org/{n}", page.replace("{n}", str(n))) for n in range(4)], "page_id long, url string, html string")
+    want = [f"{'long text ' * 30}{i}" for i in range(4)]
+    for r in html.extract(pages).collect():
+        assert r["text"].split("\n\n") == [f"Title {r['page_id']}", "Lead.", *want]
+    for tag, path in (("main", "/main"), ("div", "/div/div.body")):  # a plain container is not taken for the body's
+        found = html.Page(page.replace("article", tag))
+        assert found.paths[found.best()[0]] == path
+
+
 def test_main_text_of_odd_markup():
     text = lambda h: html.Page(h).text([])
     assert text('<p title="a>b">q</p><p>broken <a href="x>y</p>') == "q\n\nbroken y"
