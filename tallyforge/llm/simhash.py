@@ -123,32 +123,57 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cut.df
 
 
-def near_duplicates(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id."""
+def _rooted(docs: DataFrame, half: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp), and each fingerprint's component (of, component_id, root)."""
     cut = Cut(docs.select("doc_id", fingerprint_of(docs["text"], width).alias("fp")), "fingerprints")
     distinct = Cut(cut.df.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct").df
     roots = components(links(distinct, half))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy(F.col("root").alias("top")).agg(F.min("first").alias("component_id"))
-    named = Cut(rooted.join(least, F.col("root") == F.col("top")).select(F.col("fp").alias("of"), "component_id"), "named").df
-    return cut.df.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    named = rooted.join(least, F.col("root") == F.col("top")).select(F.col("fp").alias("of"), "component_id", "root")
+    return cut.df, Cut(named, "named").df
+
+
+def near_duplicates(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame:
+    """One row per document: doc_id, fp (long), component_id."""
+    rows, named = _rooted(docs, half, width)
+    return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame:
-    """The documents without near-duplicates: of each component that with the smallest id stays.
+    """The documents without near-duplicates: of each component one row stays, and of each id one row.
 
-    Documents without an id stay. Rows that repeat the id that stays leave one of them.
+    Rows are judged by their own texts: that with the smallest id stays, but an id whose rows lie in
+    several components only where a component has no other row, and before those one without an
+    id. An id that several components have to take leaves the row with the smallest hash of its text.
     """
-    ids = near_duplicates(docs, half, width).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    ids = Cut(ids.select(F.col("doc_id").alias("__id"), "stays", "n"), "stays").df
-    gone = Cut(ids.where("not stays").select("__id"), "gone").df
+    rows, named = _rooted(docs, half, width)
+    pairs = rows.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "n", "root")
+    pairs = Cut(pairs, "pairs").df
+    multi = pairs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__id")
+    kind = F.when(F.col("doc_id").isNull(), 1).when(F.col("__id").isNotNull(), 2).otherwise(0)
+    pairs = pairs.join(Cut(multi, "multi").df, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "fp", "n", "root", kind.alias("kind"))
+    first = pairs.groupBy(F.col("root").alias("top")).agg(F.min(F.struct("kind", "doc_id", "fp")).alias("first"))
+    judged = pairs.join(first, F.col("root") == F.col("top")).select("doc_id", "fp", "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))).alias("stays"))
+    judged = Cut(judged, "stays").df
+    ids = Cut(judged.groupBy(F.col("doc_id").alias("__id")).agg(F.max("stays").alias("any"), F.sum("n").alias("n")), "ids").df
+    gone = Cut(ids.where("not any and __id is not null").select("__id"), "gone").df
     if gone.count() <= BROADCAST_IDS:  # then no text is shuffled
         gone = F.broadcast(gone)
     kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
-    if ids.where("stays and n > 1").isEmpty():
+    # ids of several rows of which some stay, and rows without an id, are told apart by their fingerprints
+    odd = Cut(ids.where("__id is null or any and n > 1").select("__id"), "odd").df
+    n_odd = odd.count()
+    if not n_odd:
         return kept
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__nth", nth).where("__nth = 1 or doc_id is null").drop("__nth")
+    if n_odd <= BROADCAST_IDS:
+        odd = F.broadcast(odd)
+    is_odd = docs["doc_id"].eqNullSafe(F.col("__id"))
+    stay = judged.where("stays").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"))
+    several = kept.join(odd, is_odd, "left_semi").withColumn("__fp", fingerprint_of(F.col("text"), width))
+    several = several.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")), "left_semi")
+    one = several.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__fp"))).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row")).select("__row.*")
+    return kept.join(odd, is_odd, "left_anti").unionByName(one)
 
 
 def op10_simhash(spark, sf_dir):

@@ -394,6 +394,16 @@ def test_near_duplicate_edges(spark):
     assert sorted(i for i in ids if i is not None) == [0, 2, 3, 5, 9] and ids.count(None) == 1
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    a, b, c, d = (" ".join(random.Random(s).choices([f"w{i}" for i in range(500)], k=80)) for s in range(4))
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, b, "en", "s"), (3, c, "en", "s"), (3, c, "en", "s"), (4, c, "en", "s"), (None, d, "en", "s"), (None, d, "en", "s"), (None, a, "en", "s"), (5, b, "en", "s")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(documents(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (2, b), (3, c), (None, d)], key=str)  # 1 lies in two components, so others stand for them
+    # the row of a shared id that is another's near-duplicate goes, and the other one stays
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(documents(spark, [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s")])).collect()]
+    assert sorted(kept) == sorted([(1, a), (2, b)])
+
+
 def test_chain_of_links_is_one_component(spark):
     rng = random.Random(1)
     chain, value = [], 0
