@@ -1,14 +1,16 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
 A listed URL is a host and the start of a path; it fits its host and all subdomains. A page's
-candidates are its host's parents, as many labels long as listed hosts are, with its path's
-starts, as long as listed paths are. Candidates that the filter passes are joined with the list by
-the whole key, which removes false positives; the longest rule wins.
+host's parents, as many labels long as listed hosts are, go to a filter of listed hosts, and those
+that pass, with the path's starts, as long as listed paths are, to a filter of listed URLs. What
+passes that is joined with the list by the whole key, which removes false positives; the longest
+rule wins.
 
-The filter is a table of 512-bit blocks, built in Spark by block, and never larger than
-``max_bytes``: a longer list makes more false positives, which cost time and not results. Beside
-it the driver holds only which lengths occur in the list. Pages without a hit need no shuffle;
-hits are found once per URL.
+A filter is a table of 512-bit blocks, built in Spark by block, and never larger than ``max_bytes``:
+a longer list makes more false positives, which cost time and not results. Beside them the driver
+holds only which lengths occur in the list. Pages that the filters reject are not shuffled. The
+others are judged once per URL, and get their verdicts by a broadcast if those are under
+BROADCAST_BYTES, else by a join on the URL, in which Spark splits a URL that many pages have.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the
 verdict of unlisted URLs (``default``); an empty path starts with no rule's ``/``; rows that
@@ -22,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Cut, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS, PROBES = 8, 8
+WORDS, PROBES, BROADCAST_BYTES = 8, 8, 32 << 20
 #: The list of the contract: rule, verdict.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -97,39 +100,67 @@ class Bloom:
         return hit
 
 
-def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """Structs (host, path) that a listed URL fitting this one can be; labels and lengths: those of the list."""
+def parents(host: Column, labels: list[int]) -> Column:
+    """A host's ends, as many labels long as ``labels`` says; none of an empty host."""
     parts = F.split(host, r"\.")
-    hosts = F.transform(F.filter(F.array(*map(F.lit, labels)), lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
-    paths = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
-    pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    return F.when(host != "", F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    some = F.filter(F.array(*map(F.lit, labels)), lambda n: (n <= F.size(parts)) & (host != ""))
+    return F.array_distinct(F.transform(some, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")))
+
+
+def _hashes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of keys, as Spark makes them."""
+    first = [xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), 42) for k in keys]
+    second = [xxhash.xxh64_intdigest(b"\1\0\0\0", xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) for h in first]
+    return np.array(first, np.uint64).view(np.int64), np.array(second, np.uint64).view(np.int64)
+
+
+def possible(host: Column, path: Column, labels: list[int], lengths: list[int], hosts, keys) -> Column:
+    """The listed keys that a URL may fit, by the broadcast filters of hosts and of keys."""
+
+    @F.pandas_udf("array<string>")
+    def passing(parents: pd.Series, first: pd.Series, second: pd.Series, paths: pd.Series) -> pd.Series:
+        rows, made, found = np.repeat(np.arange(len(parents)), [len(p) for p in parents]), [], [[] for _ in parents]
+        if not len(rows):
+            return pd.Series(found, dtype=object)
+        hit = hosts.value.may_hold(np.concatenate(first.to_list()).astype(np.int64), np.concatenate(second.to_list()).astype(np.int64))
+        all_ = np.concatenate(parents.to_list())
+        for i in np.flatnonzero(hit):
+            path = paths.iloc[rows[i]]
+            made += [(rows[i], all_[i] + path[:n]) for n in lengths if n <= len(path)]
+        if made:
+            for at in np.flatnonzero(keys.value.may_hold(*_hashes([k for _, k in made]))):
+                found[made[at][0]].append(made[at][1])
+        return pd.Series(found, dtype=object)
+
+    ends = parents(host, labels)
+    return passing(ends, F.transform(ends, lambda k: F.xxhash64(k)), F.transform(ends, lambda k: F.xxhash64(F.xxhash64(k), F.lit(1))), path)
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    listed = rules.select(_key(F.col("host"), F.col("path")).alias("key"), "rule", "verdict").groupBy("key").agg(F.min(F.struct("verdict", "rule")).alias("v"))
-    listed = Cut(listed.select("key", "v.rule", "v.verdict"), "rules").df
+    keyed = rules.select(_key(F.col("host"), F.col("path")).alias("key"), "rule", "verdict", "host", "path")
+    best = keyed.groupBy("key").agg(F.min(F.struct("verdict", "rule")).alias("v"), F.first("host").alias("of"), F.first("path").alias("under"))
+    listed = Cut(best.select("key", "v.rule", "v.verdict", "of", "under"), "rules").df
     # distinct lengths: at most as many as a URL is long
-    labels = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    labels = sorted(r[0] for r in listed.select(F.size(F.split("of", r"\."))).distinct().collect())
+    lengths = sorted(r[0] for r in listed.select(F.length("under")).distinct().collect())
     judged = pages.select("page_id", "url", host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
+    nothing = [F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")]
     if not labels:
-        return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    bloom = spark.sparkContext.broadcast(Bloom.of(listed, "key"))
-
-    @F.pandas_udf("boolean")
-    def passes(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series(bloom.value.may_hold(first.to_numpy(np.int64), second.to_numpy(np.int64)))
-
-    urls = judged.select("url", F.explode(candidates(F.col("host"), F.col("path"), labels, lengths)).alias("candidate"))
-    h = F.xxhash64("candidate")
-    possible = urls.where(passes(h, F.xxhash64(h, F.lit(1)))).distinct()
-    hits = possible.join(listed, F.col("candidate") == F.col("key"))
-    best = hits.groupBy(F.col("url").alias("of")).agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("rule"))).alias("b"))
-    joined = judged.join(best, F.col("url") == F.col("of"), "left")
-    return joined.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+        return judged.select("page_id", "host", "path", *nothing)
+    hosts = spark.sparkContext.broadcast(Bloom.of(listed.select("of").distinct(), "of"))
+    keys = spark.sparkContext.broadcast(Bloom.of(listed, "key"))
+    known = judged.withColumn("possible", possible(F.col("host"), F.col("path"), labels, lengths, hosts, keys))
+    hit = F.size("possible") > 0
+    urls = known.where(hit).select("url", "possible").groupBy("url").agg(F.first("possible").alias("possible"))
+    exact = urls.select("url", F.explode("possible").alias("candidate")).join(listed, F.col("candidate") == F.col("key"))
+    found = exact.groupBy(F.col("url").alias("for")).agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("rule"))).alias("b"))
+    found = Cut(found.select("for", "b.rule", F.col("b.verdict").alias("found")), "verdicts").df
+    size = found.agg(F.coalesce(F.sum(F.length("for") + F.length("rule") + 50), F.lit(0))).first()[0]
+    joined = known.where(hit).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("url") == F.col("for"), "left")
+    joined = joined.select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
+    return joined.unionByName(known.where(~hit).select("page_id", "host", "path", *nothing))
 
 
 def op1_url_filter(spark, sf_dir):
