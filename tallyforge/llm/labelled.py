@@ -16,15 +16,19 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int = MAX_LABELLED) -> DataFrame:
-    """(text, y) of at most about ``most`` labelled documents outside the held-out remainder.
+    """(text, y) of at most ``most`` labelled documents outside the held-out remainder.
 
-    Labels that are null are no labels; an id labelled twice is learned with its larger label. The
-    ids are bounded by ``most`` and so may be broadcast; no text is shuffled.
+    Labels that are null are no labels; an id labelled twice is learned with its larger label, and
+    an id that several rows bear with one of its texts, that of the smallest hash (null texts last).
+    The ids are bounded by ``most`` and so may be broadcast; rows of one id are reduced to one
+    before they are shuffled, so no text is shuffled but those that are learned from.
     """
     learn = labels.where(labels[label].isNotNull() & labels["doc_id"].isNotNull() & (remainder(labels["doc_id"], mod) != held))
     some = learn.groupBy(F.col("doc_id").alias("__id")).agg((F.max(label) > 0).cast("int").alias("__y"))
     some = some.orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.join(F.broadcast(some), docs["doc_id"] == F.col("__id")).select(docs["text"].alias("text"), F.col("__y").alias("y"))
+    rows = docs.join(F.broadcast(some), docs["doc_id"] == F.col("__id")).select("__id", "__y", docs["text"].alias("__text"))
+    one = F.min(F.struct(F.col("__text").isNull(), F.xxhash64("__text"), F.col("__text").alias("text"))).alias("__one")
+    return rows.groupBy("__id", "__y").agg(one).select(F.col("__one.text").alias("text"), F.col("__y").alias("y"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:

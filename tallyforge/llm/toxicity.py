@@ -2,8 +2,9 @@
 
 Folding lower-cases, decomposes compatibility forms, maps look-alike letters to Latin, drops
 invisible characters, strips signs from the edges of words, and reads digits and signs inside
-words as letters. Terms are whole words or starts of words; their weights are the log of how much
-oftener, per word, toxic documents use them, learned from labelled documents. Hits inside an
+words as letters. Terms are whole words of up to 256 letters, or starts of words, those of 3 to 32
+letters and of 64, 128 and 256; a longer word counts by its starts. Their weights are the log of how much oftener, per word, toxic documents
+use them, learned from labelled documents. Hits inside an
 exception phrase (given, or learned as a pair of words that clean documents use) do not count. The
 score is a logistic function of the weight of all hits, of that weight per word and of the
 heaviest hit, fitted on the same documents.
@@ -20,9 +21,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -33,7 +36,10 @@ from pyspark.sql import functions as F
 from .labelled import logistic, remainder, sample
 from .scratch import Cut, table
 
-THRESHOLD, MAX_TERMS, MIN_SUPPORT, MIN_ODDS, STEM = 0.3, 2000, 8, 2.5, 3
+THRESHOLD, MAX_TERMS, MIN_SUPPORT, MIN_ODDS, STEM, EVERY, LONGEST = 0.3, 2000, 8, 2.5, 3, 32, 256
+REMEMBERED = 1 << 16
+#: So many candidate terms are broadcast at most; more are joined.
+BROADCAST_TERMS = 1 << 19
 #: A term counts at most so often in one document, lest a long document make a term.
 PER_DOCUMENT = 5
 #: Harmless phrases around words that insult elsewhere.
@@ -87,8 +93,12 @@ class Lexicon:
         if not self.terms:
             return []
         found = [(end + 1 - n, end + 1, w) for end, (n, w) in self.machine().iter(folded)]
-        spans = [(a, b) for a, b, w in found if w is None]
-        return [h for h in found if h[2] is not None and not any(a <= h[0] and h[1] <= b for a, b in spans)]
+        spans = sorted((a, b) for a, b, w in found if w is None)
+        if not spans:
+            return found
+        starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+        # a phrase holds a hit if, of the phrases that begin no later, one ends no sooner
+        return [h for h in found if h[2] is not None and not ((i := bisect_right(starts, h[0])) and ends[i - 1] >= h[1])]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """The logarithms of the hits' weight, and of their weight per thousand words; the heaviest hit."""
@@ -111,33 +121,71 @@ class Lexicon:
         return score(text)
 
 
-def _terms(text: str) -> dict[str, int]:
-    """Words and starts of words, with their counts; the empty string counts the words."""
-    words = Counter(fold(text).split())
-    found = Counter({"": sum(words.values())})
-    for w, n in words.items():
-        if len(w) > 2:
-            found[f" {w} "] += n
-            for i in range(STEM, len(w)):
-                found[f" {w[:i]}"] += n
-    return {t: min(n, PER_DOCUMENT) if t else n for t, n in found.items()}
+def _starts(word: str) -> Iterator[str]:
+    """The starts of a word that can be terms, the shortest first."""
+    for i in range(STEM, min(len(word), EVERY + 1)):
+        yield f" {word[:i]}"
+    i = 2 * EVERY
+    while i < len(word) and i <= LONGEST:
+        yield f" {word[:i]}"
+        i *= 2
+
+
+class _Terms(dict):
+    """The terms that a word makes, remembered for REMEMBERED words of at most EVERY letters.
+
+    ``among``: only these terms, which hold every start of a start that they hold.
+    """
+
+    def __init__(self, among: frozenset[str] | None = None):
+        self.among = among
+
+    def __missing__(self, word: str) -> list[str]:
+        made = []
+        if len(word) > 2:
+            whole = f" {word} "
+            if len(word) <= LONGEST and (self.among is None or whole in self.among):
+                made.append(whole)
+            for start in _starts(word):
+                if self.among is not None and start not in self.among:
+                    break  # nor is a longer one
+                made.append(start)
+        if len(word) <= EVERY and len(self) < REMEMBERED:
+            self[word] = made
+        return made
+
+    def counts(self, text: str) -> dict[str, int]:
+        """Words and starts of words, with their counts; the empty string counts the words."""
+        words = Counter(fold(text).split())
+        found: dict[str, int] = {}
+        for w, n in words.items():
+            for term in self[w]:
+                found[term] = found.get(term, 0) + n
+        found = {t: min(n, PER_DOCUMENT) for t, n in found.items()}
+        found[""] = sum(words.values())
+        return found
 
 
 def _phrases(lexicon: Lexicon, text: str) -> dict[str, int]:
-    """Pairs of words that hold a hit."""
+    """Pairs of words, of up to LONGEST letters, that hold a hit."""
     words = fold(text).split()
-    at = {i for i, w in enumerate(words) if lexicon.hits(f" {w} ")}
-    return dict.fromkeys((f" {words[i]} {words[i + 1]} " for i in range(len(words) - 1) if i in at or i + 1 in at), 1)
+    hit = {w for w in set(words) if lexicon.hits(f" {w} ")}
+    if any(len(w) > LONGEST for w in words):
+        return dict.fromkeys((f" {a} {b} " for a, b in zip(words, words[1:]) if (a in hit or b in hit) and max(len(a), len(b)) <= LONGEST), 1)
+    return dict.fromkeys((f" {a} {b} " for a, b in zip(words, words[1:]) if a in hit or b in hit), 1)
 
 
 def _counts(labelled: DataFrame, keys) -> DataFrame:
-    """Each key's documents and uses by label (docs1, n1, docs0, n0), counted by partition first."""
+    """Each key's documents and uses by label (docs1, n1, docs0, n0), counted by partition first.
+
+    ``keys`` makes, in each task, the function from a text to its keys with their counts.
+    """
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = [Counter() for _ in range(4)]
+        of, seen = keys(), [Counter() for _ in range(4)]
         for frame in frames:
             for text, y in zip(frame["text"], frame["y"]):
-                found = keys(text or "")
+                found = of(text or "")
                 seen[2 - 2 * y].update(found.keys())
                 seen[3 - 2 * y].update(found)
             if len(seen[0]) + len(seen[2]) > 500_000:
@@ -154,15 +202,27 @@ def _counts(labelled: DataFrame, keys) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    labelled = Cut(sample(docs, labels, "toxic", mod, held), "toxic-sample").df
+    spark = docs.sparkSession
+    sampled = Cut(sample(docs, labels, "toxic", mod, held), "toxic-sample")
+    labelled = sampled.df
     n = dict(labelled.groupBy("y").count().collect())
     pos, neg = n.get(1, 0), n.get(0, 0)
     given = [f" {' '.join(fold(e).split())} " for e in exceptions]
     if not pos or not neg:
         share = (pos + 1e-9) / (pos + neg + 2e-9) if pos + neg else 1e-9
+        sampled.drop()
         return Lexicon({}, given, float(np.log(share / (1 - share))), (0.0, 0.0, 0.0))
-    counts = Cut(_counts(labelled, _terms).where(f"key = '' or docs1 >= {MIN_SUPPORT}"), "toxic-terms").df
-    _, _, words1, _, words0 = counts.where("key = ''").first()
+    # toxic documents say what can be a term, and then only that is counted in the others
+    toxic = Cut(_counts(labelled.where("y = 1"), lambda: _Terms().counts).where(f"key = '' or docs1 >= {MIN_SUPPORT}"), "toxic-terms")
+    among = None
+    if toxic.df.count() <= BROADCAST_TERMS:
+        among = spark.sparkContext.broadcast(frozenset(r[0] for r in toxic.df.select("key").toLocalIterator()))
+    others = _counts(labelled.where("y = 0"), lambda: _Terms(among and among.value).counts)
+    others = others.select(F.col("key").alias("of"), F.col("docs0").alias("docs"), F.col("n0").alias("n"))
+    both = toxic.df.join(others, F.col("key") == F.col("of"), "left")
+    counted = Cut(both.select("key", "docs1", "n1", F.coalesce("docs", "docs0").alias("docs0"), F.coalesce("n", "n0").alias("n0")), "toxic-counts")
+    counts = counted.df
+    _, _, words1, _, words0 = counts.where("key = ''").select("key", "docs1", "n1", "docs0", "n0").first()
     odds = F.log((F.col("n1") + 0.5) / (words1 + 1.0)) - F.log((F.col("n0") + 0.5) / (words0 + 1.0))
     found = counts.where("key <> ''").select("key", "docs1", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
     best = found.orderBy(F.desc(F.col("odds") * F.col("docs1")), F.length("key").desc(), "key").limit(MAX_TERMS)
@@ -171,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, excepti
         if not any(key.startswith(t) or t.startswith(key) for t in terms):
             terms[key] = float(weight)
     lexicon = Lexicon(terms, given)
-    clean = _counts(labelled, lambda t: _phrases(lexicon, t)).where("docs0 >= 5 and docs0 >= 0.95 * (docs0 + docs1)").orderBy(F.desc("docs0"), "key").limit(MAX_TERMS)
+    clean = _counts(labelled, lambda: lambda t: _phrases(lexicon, t)).where("docs0 >= 5 and docs0 >= 0.95 * (docs0 + docs1)").orderBy(F.desc("docs0"), "key").limit(MAX_TERMS)
     lexicon = Lexicon(terms, given + [r[0] for r in clean.collect()])
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,6 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, excepti
 
     data = labelled.mapInPandas(features, "a double, b double, c double, y int").toPandas()  # MAX_LABELLED rows of numbers
     data = data.sort_values(list(data.columns))
+    for cut in (sampled, toxic, counted):
+        cut.drop()
     bias, *weights = logistic(np.column_stack([np.ones(len(data)), data[["a", "b", "c"]]]), data["y"].to_numpy(float))
     return Lexicon(lexicon.terms, lexicon.phrases, float(bias), tuple(map(float, weights)))
 
