@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -33,7 +33,9 @@ from .scratch import Cut, table
 from .url_filter import host_of
 
 PATHS, BROADCAST_BYTES = 3, 32 << 20
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_MARK = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]+")
+_QUOTE_OR_END = re.compile(r"""["'>]""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMED = re.compile(r"class|id\b|role|hidden|style|aria-hidden", re.I)
 _RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes svg math canvas object select button audio video".split())
@@ -76,36 +78,117 @@ def _is_dull(tag: str, attributes: dict[str, str], inside_article: bool) -> bool
     return False
 
 
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Where a tag's > is that stands in no quotes; the first > at all if there is none, as after an unclosed quote.
+
+    ``dead``: quotes from which none is found; they end later searches of the same page at once.
+    """
+    seen, position = [], at
+    while (mark := _QUOTE_OR_END.search(html, position)) is not None:
+        i = mark.start()
+        if html[i] == ">":
+            return i
+        if i in dead:
+            break
+        seen.append(i)
+        position = html.find(html[i], i + 1) + 1
+        if not position:
+            break
+    dead.update(seen)
+    return html.find(">", at)
+
+
+class _Paths:
+    """The paths of a page's elements, made when they are asked for: a path is a number, its parent's and its last step."""
+
+    def __init__(self):
+        self.steps, self.above, self.known, self.of = [""], [-1], {}, [0]
+
+    def add(self, parent: int, step: str | None) -> None:
+        """The next element, with one step more than ``parent`` or none."""
+        at = self.of[parent]
+        if step is not None:
+            key = at, step.replace("%", "%25").replace("/", "%2F")
+            at = self.known.get(key, -1)
+            if at < 0:
+                at = self.known[key] = len(self.steps)
+                self.steps.append(key[1])
+                self.above.append(key[0])
+        self.of.append(at)
+
+    def __getitem__(self, e: int) -> str:
+        steps, at = [], self.of[e]
+        while at > 0:
+            steps.append(self.steps[at])
+            at = self.above[at]
+        return "".join("/" + s for s in reversed(steps))
+
+    def number(self, path: str) -> int:
+        """The number of a path; -1 if the page lacks it."""
+        at = 0
+        for step in path.split("/")[1:]:
+            at = self.known.get((at, step), -1)
+            if at < 0:
+                break
+        return at
+
+
 class Page:
-    """Elements (parent, path, whether left out) and blocks (element, text, characters in links)."""
+    """Elements (parent, path, whether left out) and blocks (element, text, characters in links).
+
+    The time is in proportion to the length of the html, whatever it holds: open elements are found
+    by tag, and what one search has found to be missing is not searched for again.
+    """
 
     def __init__(self, html: str):
-        self.parents, self.tags, self.paths, self.dull = [-1], [""], [""], [False]
+        self.parents, self.tags, self.dull, self.containers, self.paths = [-1], [""], [False], [0], _Paths()
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._holders, self._text, self._linked, self._links = [0], [0], [], 0, 0
-        at, n = 0, len(html)
+        self._text, self._linked = [], 0
+        # open elements; the positions on that stack of elements that hold text, of blocks, and of each tag
+        self._stack, self._holders, self._open_blocks = [0], [0], [0]
+        self._open: dict[str, list[int]] = {}
+        at, n, unended, dead = 0, len(html), set(), set()
+        last = html.rfind(">")
         while at < n:
             mark = _MARK.search(html, at)
             if mark is None:
                 self._add(html[at:])
                 break
-            if mark.start() > at:
-                self._add(html[at : mark.start()])
-            at = mark.end()
-            name = mark[2] or mark[5]
-            if name is None:
-                if mark[0].startswith("<![CDATA["):
-                    self._add(mark[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+            start, kind = mark.start(), mark[0]
+            if kind == "<!--":
+                end = html.find("-->", start + 4)
+                self._add(html[at:start])
+                at = n if end < 0 else end + 3
+                continue
+            if kind == "<![CDATA[":
+                end = html.find("]]>", start + 9)
+                self._add(html[at:start])
+                self._add(html[start + 9 : n if end < 0 else end].replace("&", "&amp;"))
+                at = n if end < 0 else end + 3
+                continue
+            if start > last:  # no tag ends any more
+                after = html.find("<!--", start), html.find("<![CDATA[", start)
+                stop = min((a for a in after if a >= 0), default=n)
+                self._add(html[at:stop])
+                at = stop
                 continue
-            tag, attributes = name.lower(), mark[3] or mark[6] or ""
-            if mark[1] or mark[4]:
+            self._add(html[at:start])
+            if kind in ("<!", "<?"):
+                at = html.find(">", start) + 1
+                continue
+            name = _NAME.match(html, start + len(kind) - 1)
+            end = _tag_end(html, name.end(), dead)
+            tag, attributes, at = name[0].lower(), html[name.end() : end], end + 1
+            if kind[1] == "/":
                 self._end(tag)
             elif tag in _RAW and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                if end:
-                    at = end.end()
-                elif tag in ("script", "style", "title", "textarea"):
-                    at = n
+                found = None if tag in unended else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                if found:
+                    at = found.end()
+                else:
+                    unended.add(tag)
+                    if tag in ("script", "style", "title", "textarea"):
+                        at = n
             elif tag in _VOID:
                 self._flush() if tag == "hr" else self._text.append(" ")
             else:
@@ -115,80 +198,77 @@ class Page:
         self._flush()
 
     def _add(self, raw: str) -> None:
+        if not raw:
+            return
         text = unescape(raw) if "&" in raw else raw
         self._text.append(text)
-        if self._links:
+        if self._open.get("a"):
             self._linked += len(text.strip())
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.blocks.append((self._holders[-1], text, self._linked))
+            self.blocks.append((self._stack[self._holders[-1]], text, self._linked))
         self._text, self._linked = [], 0
 
     def _pop(self, to: int) -> None:
         """Close the elements of the stack from position ``to`` on."""
-        for e in self._stack[to:]:
-            if self.tags[e] in _BLOCK:
-                self._flush()
-                break
-        for e in self._stack[to:]:
-            self._links -= self.tags[e] == "a"
-        del self._stack[to:]
-        while self._holders[-1] != 0 and self._holders[-1] not in self._stack:
-            self._holders.pop()
+        if self._open_blocks[-1] >= to:
+            self._flush()
+        for positions in (self._holders, self._open_blocks):
+            while positions[-1] >= to:
+                positions.pop()
+        while len(self._stack) > to:
+            self._open[self.tags[self._stack.pop()]].pop()
+
+    def _nearest(self, tags: Iterable[str]) -> int:
+        """The position of the innermost open element with one of the tags; 0 without one."""
+        return max((p[-1] for p in map(self._open.get, tags) if p), default=0)
 
     def _begin(self, tag: str, raw: str) -> None:
         if tag in _BLOCK:
             self._flush()
-            for i in range(len(self._stack) - 1, 0, -1):
-                above = self.tags[self._stack[i]]
-                if above == "p":
-                    self._pop(i)
-                    break
-                if above in _BLOCK:
-                    break
+            nearest = self._open_blocks[-1]
+            if self.tags[self._stack[nearest]] == "p":
+                self._pop(nearest)
         if tag in _ENDS:
             ends, holds = _ENDS[tag]
-            for i in range(len(self._stack) - 1, 0, -1):
-                above = self.tags[self._stack[i]]
-                if above in holds:
-                    break
-                if above in ends:
-                    self._pop(i)
-                    break
-        elif tag in ("html", "body") and tag in self.tags:
+            nearest = self._nearest(ends)
+            if nearest > self._nearest(holds):
+                self._pop(nearest)
+        elif tag in ("html", "body") and tag in self._open:
             return
         attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(raw)} if _NAMED.search(raw) else {}
         if tag == "body":  # an open head ends
             self._end("head")
-        parent = self._stack[-1]
+        parent, block, e = self._stack[-1], tag in _BLOCK, len(self.tags)
         self.parents.append(parent)
         self.tags.append(tag)
-        path = self.paths[parent]
-        if tag in _BLOCK and tag not in ("html", "body"):  # whose classes differ by page, and which pages leave out
+        step = None
+        if block and tag not in ("html", "body"):  # whose classes differ by page, and which pages leave out
             classes = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
-            path = f"{path}/{tag}.{classes}" if classes else f"{path}/{tag}"
-        self.paths.append(path)
-        self.dull.append(self.dull[parent] or _is_dull(tag, attributes, any(self.tags[e] in ("article", "main") for e in self._stack)))
-        if self.dull[-1] != self.dull[parent] and tag not in _BLOCK:  # what is left out inside a line must not join it
+            step = f"{tag}.{classes}" if classes else tag
+        self.paths.add(parent, step)
+        self.containers.append(e if block and tag not in _LEAF else self.containers[parent])
+        self.dull.append(self.dull[parent] or _is_dull(tag, attributes, bool(self._open.get("article") or self._open.get("main"))))
+        changes = self.dull[e] != self.dull[parent]
+        if changes and not block:  # what is left out inside a line must not join it
             self._flush()
-        e = len(self.tags) - 1
+        at = len(self._stack)
         self._stack.append(e)
-        if tag in _BLOCK or self.dull[e] != self.dull[parent]:
-            self._holders.append(e)
-        self._links += tag == "a"
+        self._open.setdefault(tag, []).append(at)
+        if block:
+            self._open_blocks.append(at)
+        if block or changes:
+            self._holders.append(at)
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            e = self._stack[i]
-            if self.tags[e] == tag:
-                if tag not in _BLOCK and self._holders[-1] == e:
-                    self._flush()
-                self._pop(i)
-                return
-            if tag not in _BLOCK and self.tags[e] in _BLOCK:
-                return
+        at = self._nearest((tag,))
+        if not at or tag not in _BLOCK and self._open_blocks[-1] > at:
+            return
+        if tag not in _BLOCK and self._holders[-1] == at:
+            self._flush()
+        self._pop(at)
 
     def credits(self) -> Counter[int]:
         """Each container's credit."""
@@ -196,9 +276,7 @@ class Page:
         for e, text, linked in self.blocks:
             if self.dull[e]:
                 continue
-            worth = max(0, len(text) - linked)
-            while e > 0 and (self.tags[e] in _LEAF or self.tags[e] not in _BLOCK):
-                e = self.parents[e]
+            worth, e = max(0, len(text) - linked), self.containers[e]
             found[e] += worth
             if self.parents[e] > 0:
                 found[self.parents[e]] += worth / 2
@@ -222,7 +300,8 @@ class Page:
     def text(self, paths: list[str]) -> str:
         own = self._under({self.best()[0]})
         for path in paths:
-            if chosen := self._under({e for e, p in enumerate(self.paths) if p == path and self.tags[e] in _BLOCK}):
+            number = self.paths.number(path)
+            if number >= 0 and (chosen := self._under({e for e, p in enumerate(self.paths.of) if p == number and self.tags[e] in _BLOCK})):
                 return chosen
         return own
 
