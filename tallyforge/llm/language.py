@@ -5,7 +5,9 @@ A document's profile is compared with each language's by out-of-place distance:
 differences, with a fixed penalty for n-grams the language's profile lacks. Language profiles
 count the n-grams of all learned documents, added up by partition before they are shuffled.
 
-N-grams are packed into integers and counted by sorting, a text at a time, in numpy.
+N-grams are packed into integers and counted by sorting, a text at a time, in numpy; an n-gram that
+begins with a blank counts together with the same letters without it. A text is counted in pieces of
+PIECE characters, and n-grams over a cut as any others.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a document as far
 from two languages goes to the first by name; without learned languages all is ``und``; rows that
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .labelled import remainder
-from .scratch import Cut, table
+from .scratch import table
 
 UNKNOWN, TOP, PIECE = "und", 300, 1 << 20
 _letters: list[np.ndarray] = []
@@ -38,26 +40,37 @@ def _is_letter() -> np.ndarray:
 
 
 def _pieces(text: str) -> Iterator[np.ndarray]:
-    """Code points of the lower-cased text, everything but letters made a single blank (0)."""
-    for at in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        codes = np.where(_is_letter()[codes], codes, 0)
-        codes = np.concatenate([[0], codes, [0]]).astype(np.int64)
-        yield codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]
+    """Code points of the lower-cased text, everything but letters made a single blank (0).
+
+    Each piece begins with the last two code points of the one before it, which belong to n-grams
+    that end in it; the first begins, and the last ends, with a blank.
+    """
+    text, last = text.lower(), np.zeros(1, np.int64)
+    for at in range(0, len(text) or 1, PIECE):
+        codes = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.where(_is_letter()[codes], codes, 0).astype(np.int64)
+        codes = np.concatenate([last, codes, [0]] if at + PIECE >= len(text) else [last, codes])
+        codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]
+        yield codes
+        last = codes[-2:]
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a text as integers of 21 bits a letter, and their counts."""
     total: tuple[np.ndarray, np.ndarray] | None = None
+    before = 1  # code points of a piece that are counted already, but for the blank at the start
     for c in _pieces(text or ""):
         two = (c[:-1] << 21) | c[1:]
         three = (two[:-1] << 21) | c[2:]
         # blanks on their own and between words are no n-grams
-        all_ = np.concatenate([c[c > 0], two[(c[:-1] > 0) | (c[1:] > 0)], three[c[1:-1] > 0]])
+        one, pairs, triples = c[before:], two[before - 1 :], three[max(0, before - 2) :]
+        firsts, middles = c[before - 1 : -1], c[max(1, before - 1) : -1]
+        all_ = np.concatenate([one[one > 0], pairs[(firsts > 0) | (one > 0)], triples[middles > 0]])
+        before = min(2, len(c))
         keys, counts = np.unique(all_, return_counts=True)
         if total is not None:
             keys, inverse = np.unique(np.concatenate([total[0], keys]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([total[1], counts])).astype(np.int64)
+            counts = np.bincount(inverse, np.concatenate([total[1], counts]), len(keys)).astype(np.int64)
         total = keys, counts
     return total or (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -129,7 +142,7 @@ def fit(docs: DataFrame, mod: int = 4, held: int = 2, most: int = TOP) -> Profil
 
     sums = learn.mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    ranked = Cut(sums.withColumn("rank", rank).where(F.col("rank") <= most), "profiles").df.orderBy("lang", "rank").toPandas()  # ``most`` rows a language
+    ranked = sums.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").toPandas()  # ``most`` rows a language
     profiles = Profiles([], [], [], most)
     for lang, rows in ranked.groupby("lang"):
         order = np.argsort(rows["gram"].to_numpy())
