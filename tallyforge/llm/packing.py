@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 
 from .scratch import table
 
-CAPACITY, CLOSING = 4096, 2
+CAPACITY, CLOSING, LONG = 4096, 2, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Fixed value: the pattern by which the tokenizer splits words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -61,7 +61,8 @@ class _Words(dict):
         ids = self.old.get(word)
         if ids is None:
             ids = self.fresh(word)
-        self[word] = ids
+        if len(word) <= LONG:
+            self[word] = ids
         return ids
 
 
@@ -71,7 +72,8 @@ class WordTokens:
     White space always parts tokens, so a text's ids are those of its words. New words of plain
     Latin letters and signs go straight to a byte-pair merger over the same vocabulary, in which a
     byte that UTF-8 never uses marks the end of a word; all other words go to the tokenizer itself.
-    Two generations of at most ``limit`` words bound the memory.
+    Two generations of at most ``limit`` words bound the memory; words over LONG characters are
+    made anew each time, lest they fill it.
     """
 
     def __init__(self, path: str, limit: int = 150_000):
