@@ -6,12 +6,16 @@ to the others by weight. A source takes whole epochs of all its documents, and t
 target as those documents whose hash lies under a threshold. Thresholds come from histograms of
 words by source and hash bucket: the bucket in which the budget ends is refined by the next bits
 of the hash until it holds a single hash. Larger budgets have larger thresholds, so selections
-are nested; nothing is sorted and reruns agree, for the hash depends on the document's id alone.
+are nested; nothing is sorted and reruns agree, for the hash is that of the document's id, its text
+and its number among the rows of its source with that id and text. Such repeated rows are found by
+counting 64-bit hashes; only they are numbered, by their counts in each partition and their places
+there, so no task sees all of them.
 
 Defined results: null text or text without words has size 0 and takes 0; a null source is a
-source of its own; a null id hashes as the empty string; repeated rows with one id are taken
-together or not at all; an empty table gives an empty result; further columns are ignored by
-``mix`` and kept by ``apply``.
+source of its own; a null id hashes as the empty string; rows that repeat an id, or an id and a
+text, have hashes of their own, and of rows alike in both as many are taken as have hashes under the
+threshold; an empty table gives an empty result; further columns are ignored by ``mix`` and kept by
+``apply``.
 """
 
 from __future__ import annotations
@@ -32,9 +36,37 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
+#: So many hashes of repeated rows are broadcast at most.
+BROADCAST_REPEATS = 1 << 20
+
+
+def key_of(doc_id: Column, text: Column) -> Column:
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+
+
+def hash_of(key: Column, nth: Column) -> Column:
     """60 bits of MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), nth.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, __key and any others) with __nth, their number among those of one source and key."""
+    hashed = rows.withColumn("__hash", F.xxhash64("source", "__key"))
+    cut = Cut(hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__hash").alias("__again")), "mix-repeats")
+    n = cut.df.count()
+    if not n:
+        cut.drop()
+        return hashed.drop("__hash").withColumn("__nth", F.lit(1).cast("long"))
+    again = F.broadcast(cut.df) if n <= BROADCAST_REPEATS else cut.df
+    is_again = F.col("__hash") == F.col("__again")
+    once = hashed.join(again, is_again, "left_anti").withColumn("__nth", F.lit(1).cast("long"))
+    more = Cut(hashed.join(again, is_again, "left_semi").withColumn("__part", F.spark_partition_id()), "mix-repeated").df
+    counts = more.groupBy("source", "__key", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("source", "__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("source").alias("__s"), F.col("__key").alias("__k"), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("source", "__key", "__part").orderBy("__hash"))
+    joined = more.withColumn("__in", place).join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k")) & (F.col("__part") == F.col("__p")))
+    return once.unionByName(joined.withColumn("__nth", F.col("__start") + F.col("__in")).select(*once.columns)).drop("__hash")
 
 
 @dataclass
@@ -55,19 +87,25 @@ class MixPlan:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """The documents of the mix, each as often as it is taken; the columns of ``docs``."""
-        joined = docs.join(self.thresholds, docs["source"].eqNullSafe(F.col("__source")))
-        copies = self._copies(hash_of(docs["doc_id"])).cast("int")
+        rows = numbered(docs.withColumn("__key", key_of(docs["doc_id"], docs["text"])))
+        joined = rows.join(self.thresholds, F.col("source").eqNullSafe(F.col("__source")))
+        copies = self._copies(hash_of(F.col("__key"), F.col("__nth"))).cast("int")
         taken = joined.withColumn("__copies", copies).where("__copies > 0")
-        return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+        return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> MixPlan:
     """Fit targets and thresholds to all of ``docs`` (doc_id, text, source)."""
-    sized = Cut(docs.select("doc_id", "source", size_of(docs["text"]).alias("size"), hash_of(docs["doc_id"]).alias("h")), "mix-sizes").df
-    sums = Cut(sized.groupBy("source").agg(F.sum("size").cast("long").alias("words")), "mix-sources").df
-    order, _ = ranked(sums, [F.col("source").isNull(), F.col("source")], "rank", "mix-ranks")
+    measured = Cut(docs.select("doc_id", "source", size_of(docs["text"]).alias("size"), key_of(docs["doc_id"], docs["text"]).alias("__key")), "mix-measured")
+    hashed = numbered(measured.df).select("doc_id", "source", "size", hash_of(F.col("__key"), F.col("__nth")).alias("h"))
+    sized = Cut(hashed, "mix-sizes").df
+    measured.drop()
+    sums = Cut(sized.groupBy("source").agg(F.sum("size").cast("long").alias("words")), "mix-sources")
+    order, dealt = ranked(sums.df, [F.col("source").isNull(), F.col("source")], "rank", "mix-ranks")
     cycle = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     sources = Cut(order.select("source", "words", cycle.cast("long").alias("w")), "mix-weights").df
+    sums.drop()
+    dealt.drop()
     targets = sources.withColumn("target", F.least(F.lit(float(cap)) * F.col("words"), F.col("w") * F.lit(_level(sources, cap))))
     epochs = F.when(F.col("words") == 0, 0).when(F.col("target") >= cap * F.col("words"), cap).otherwise(F.floor(F.col("target") / F.col("words")))
     budgets = targets.withColumn("epochs", epochs.cast("long")).withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("words")))
@@ -118,7 +156,7 @@ def op9_mixing(spark, sf_dir):
 
 SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
-                  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint h from documents),
+                  ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) || ':' || row_number() over (partition by doc_id, source, coalesce(text, ''))), 1, 15))::bigint h from documents),
 s as (select source, sum(size)::bigint words, [5, 2, 1][((row_number() over (order by source is null, source)) - 1) % 3 + 1]::bigint w from d group by source),
 r as (select *, sum(words) over ()::bigint total, coalesce(sum(3 * words) over (order by words::double / w, source rows between unbounded preceding and 1 preceding), 0)::bigint held,
              sum(w) over (order by words::double / w, source rows between current row and unbounded following)::bigint free from s),
