@@ -39,12 +39,34 @@ class Cut:
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def union(self, others: list[Cut]) -> DataFrame:
+        """This table and others alike, in one scan."""
+        return self.spark.read.schema(self.df.schema).parquet(self.path, *[o.path for o in others])
+
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A side of at most so many rows of a few numbers is broadcast.
+FEW, SALTS = 1 << 20, 16
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, of: str, how: str = "inner", few: int = FEW) -> DataFrame:
+    """``rows`` with the row of ``found`` whose ``of`` is their ``key``: one at most, of a few numbers.
+
+    Few are broadcast; else both sides are dealt by the key and a salt, so a key that a large part
+    of the rows has takes many tasks.
+    """
+    cut = Cut(found, "found")
+    if cut.df.count() <= few:
+        return rows.join(F.broadcast(cut.df), F.col(key) == F.col(of), how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = cut.df.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, (F.col(key) == F.col(of)) & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy")
+
+
 def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> tuple[DataFrame, Cut]:
     """Number rows 1..n by ``order`` without a task that sees them all.
 

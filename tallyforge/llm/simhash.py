@@ -6,7 +6,8 @@ every distinct fingerprint emits its ball of variants, the variants are shuffled
 meet are linked. All members of one ball lie within ``2 * half`` bits of each other, so a link of
 each to the smallest loses no connection: a ball of b members gives b - 1 links and not b * b.
 Links are verified by popcount. Components are labelled by rounds of hooking and shortcutting
-over the links; a fingerprint has a bounded number of links, whatever the number of its copies.
+over the links; a fingerprint has a bounded number of links, whatever the number of its copies, and
+what a large component's members have in common, its root, is broadcast or joined under a salt.
 
 Defined results: null text, and text without words, has fingerprint 0, linked like any other;
 fewer words than a shingle form one shingle; rows that repeat an id come out once each, in the
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Cut, table
+from .scratch import Cut, looked_up, table
 
 SEED = 42
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -103,13 +104,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         roots = cut.df
         near = both.df.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("root").alias("m"))
-        seen = roots.join(near, F.col("node") == F.col("at")).select("node", "root", "m")
-        hook = seen.groupBy(F.col("root").alias("top")).agg(F.min("m").alias("h")).where("h < top")
-        own = seen.select("node", F.least("root", "m").alias("r"))
-        hooked = own.join(hook, F.col("r") == F.col("top"), "left").select("node", F.least("r", F.coalesce("h", "r")).alias("root"))
+        seen = Cut(roots.join(near, F.col("node") == F.col("at")).select("node", "root", "m"), "seen")
+        hook = seen.df.groupBy(F.col("root").alias("top")).agg(F.min("m").alias("h")).where("h < top")
+        own = seen.df.select("node", F.least("root", "m").alias("r"))
+        hooked = looked_up(own, hook, "r", "top", "left").select("node", F.least("r", F.coalesce("h", "r")).alias("root"))
         step = Cut(hooked, "roots")
-        jump = step.df.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = Cut(step.df.join(jump, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root")), "roots")
+        seen.drop()
+        # the roots of roots; nodes share roots, so these are looked up and not joined
+        tops = step.df.select(F.col("root").alias("n2")).distinct()
+        jump = tops.join(step.df, F.col("n2") == F.col("node")).select("n2", F.col("root").alias("r2"))
+        new = Cut(looked_up(step.df, jump, "root", "n2", "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root")), "roots")
         step.drop()
         old = roots.select(F.col("node").alias("n0"), F.col("root").alias("r0"))
         done = new.df.join(old, (F.col("node") == F.col("n0")) & (F.col("root") != F.col("r0")), "left_semi").isEmpty()
@@ -128,10 +132,11 @@ def _rooted(docs: DataFrame, half: int, width: int) -> tuple[DataFrame, DataFram
     cut = Cut(docs.select("doc_id", fingerprint_of(docs["text"], width).alias("fp")), "fingerprints")
     distinct = Cut(cut.df.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct").df
     roots = components(links(distinct, half))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("top")).agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, F.col("root") == F.col("top")).select(F.col("fp").alias("of"), "component_id", "root")
-    return cut.df, Cut(named, "named").df
+    rooted = Cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "root"), "rooted").df
+    least = rooted.where("root is not null").groupBy(F.col("root").alias("top")).agg(F.min("first").alias("component_id"))
+    linked = looked_up(rooted.where("root is not null"), least, "root", "top").select(F.col("fp").alias("of"), "component_id", "root")
+    alone = rooted.where("root is null").select(F.col("fp").alias("of"), F.col("first").alias("component_id"), F.col("fp").alias("root"))
+    return cut.df, Cut(linked.unionByName(alone), "named").df
 
 
 def near_duplicates(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame:
@@ -153,8 +158,11 @@ def keep_one(docs: DataFrame, half: int = 1, width: int = 3) -> DataFrame:
     multi = pairs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__id")
     kind = F.when(F.col("doc_id").isNull(), 1).when(F.col("__id").isNotNull(), 2).otherwise(0)
     pairs = pairs.join(Cut(multi, "multi").df, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "fp", "n", "root", kind.alias("kind"))
-    first = pairs.groupBy(F.col("root").alias("top")).agg(F.min(F.struct("kind", "doc_id", "fp")).alias("first"))
-    judged = pairs.join(first, F.col("root") == F.col("top")).select("doc_id", "fp", "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))).alias("stays"))
+    pairs = Cut(pairs, "pairs").df
+    # only groups of several have to choose
+    first = pairs.groupBy(F.col("root").alias("top")).agg(F.min(F.struct("kind", "doc_id", "fp")).alias("first"), F.count(F.lit(1)).alias("__of")).where("__of > 1").drop("__of")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))
+    judged = looked_up(pairs, first, "root", "top", "left").select("doc_id", "fp", "n", F.when(F.col("top").isNull(), True).otherwise(is_first).alias("stays"))
     judged = Cut(judged, "stays").df
     ids = Cut(judged.groupBy(F.col("doc_id").alias("__id")).agg(F.max("stays").alias("any"), F.sum("n").alias("n")), "ids").df
     gone = Cut(ids.where("not any and __id is not null").select("__id"), "gone").df
