@@ -10,8 +10,9 @@ tables and whose length of what is left allow it to reach the last of the best:
 lost, and where codes cannot tell rows apart, more rows are ranked.
 
 Equal vectors are indexed once with as many of their smallest ids as can be asked for, so a vector
-that many rows repeat costs one row. Queries are taken in bounded chunks that are broadcast; the
-index is read in place, and what is shuffled is each partition's best rows per query.
+that many rows repeat costs one row. Queries are taken in bounded chunks, one broadcast at a time,
+each chunk's results being written before the next; the index is read in place, and what is shuffled
+is each partition's best rows per query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, those whose
 dimension is not the most frequent one, and rows without an id take no part; a row that repeats an
@@ -199,14 +200,18 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, measure: str = "
     index = _index(distinct.df, books, n)
     asked = Cut(hashed.where("asks").join(distinct.df.select(F.col("h").alias("h2"), F.col("v").alias("v2"), "row"), (F.col("h") == F.col("h2")) & (F.col("v") == F.col("v2"))).select("vec_id", "row").distinct(), "queries").df
     chosen = Cut(distinct.df.join(asked.select(F.col("row").alias("asked")).distinct(), F.col("row") == F.col("asked"), "left_semi").select("row", "v"), "query-vectors").df
-    found = None
+    parts = []
     for chunk in _chunks(chosen, d):
-        part = _search_chunk(index, books, chunk, top, measure)
-        found = part if found is None else found.union(part)
-    if found is None:
+        queries = spark.sparkContext.broadcast(chunk)
+        parts.append(Cut(_search_chunk(index, books, queries, top, measure), "near"))
+        queries.unpersist()
+    if not parts:
         return spark.createDataFrame([], schema)
+    found = parts[0].union(parts[1:])
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row"))
     best = Cut(found.withColumn("place", place).where(F.col("place") <= top + 1).select("q", "row", "score"), "found").df
+    for part in parts:
+        part.drop()
     with_ids = best.join(distinct.df.select(F.col("row").alias("r"), "ids"), F.col("row") == F.col("r"))
     lists = with_ids.groupBy("q").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id"))))).alias("near"))
     own = asked.withColumnRenamed("vec_id", "query_id").join(lists, F.col("row") == F.col("q"))
@@ -243,8 +248,8 @@ def _chunks(chosen: DataFrame, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]
             yield arrow["row"].to_numpy(), _floats(arrow["v"])
 
 
-def _search_chunk(index: DataFrame, books, chunk: tuple[np.ndarray, np.ndarray], top: int, measure: str) -> DataFrame:
-    queries = index.sparkSession.sparkContext.broadcast(chunk)
+def _search_chunk(index: DataFrame, books, queries, top: int, measure: str) -> DataFrame:
+    """The best rows of each of the broadcast ``queries`` (rows, vectors), by partition of the index."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_rows, q_vectors = queries.value
