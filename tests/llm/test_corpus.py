@@ -158,6 +158,32 @@ def test_search_recall_and_scores(spark):
     assert hits / 600 >= 0.9
 
 
+def test_search_in_chunks(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(400, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(ann.search(df, df["vec_id"] % 4 == 0, 5).collect())
+    monkeypatch.setattr(ann, "QUERY_BYTES", 100 * 8 * 8 // 5)
+    assert sorted(ann.search(df, df["vec_id"] % 4 == 0, 5).collect()) == whole and len(whole) == 500
+
+
+def test_recall_on_the_querys_table(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    found = defaultdict(set)
+    for r in ann.op7_ann(spark, sf).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    rows = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet'").fetchall()
+    good = [(i, v) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
+    ids, x = [i for i, _ in good], np.array([v for _, v in good], np.float64)
+    hits = n = 0
+    for at, q in enumerate(ids):
+        if q % 20 == 0:
+            want = {i for _, i in brute(x, ids, at, 20)}
+            hits, n = hits + len(want & found[q]), n + len(want)
+    assert n and hits / n >= 0.99
+
+
 def test_search_edges(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100, [0.5, 0.5]), (100, [0.5, 0.5]), (101, None), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [None, 1.0]), (105, [1.0, 2.0, 3.0]), (None, [9.0, 9.0]), (106, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -208,7 +234,68 @@ def test_beam_codes_add_up():
 
 
 def pieces(text):
-    return set(re.findall(r"[^\n]{1,160}", text))
+    classes = [160, 80, 40, 20, 10, 5, 2]
+    k = next((k for k in range(7) if len(text) >= 960 / 2**k), 6)
+    return {p for w in classes[max(0, k - 1) : k + 1] for p in re.findall(rf"[^\n]{{1,{w}}}", text)}
+
+
+M64 = (1 << 64) - 1
+
+
+def chained(key, n):
+    """Spark's hash of a long and then an int."""
+    return xxhash.xxh64_intdigest(n.to_bytes(4, "little"), xxhash.xxh64_intdigest((key & M64).to_bytes(8, "little"), 42))
+
+
+def places(key, cells):
+    """The cells of a digest in a sketch of up to 2^20 cells a subtable."""
+    return [s * cells + (chained(key, 1) >> 20 * s) % cells for s in range(3)]
+
+
+def parsed(fingerprint):
+    cells, _, body = fingerprint.partition(":")
+    made = {}
+    for cell in filter(None, body.split(".")):
+        place, count, rest = cell.split("-")
+        made[int(place, 16)] = (int(count, 16), int(rest[:16], 16), int(rest[16:], 16))
+    return int(cells, 16), made
+
+
+def listed(cells, sketch):
+    """Peel a sketch, or the difference of two: its digests by sign, and whether nothing is left."""
+    sketch, found = {c: list(v) for c, v in sketch.items()}, {1: set(), -1: set()}
+    todo = list(sketch)
+    while todo:
+        c = todo.pop()
+        n, key, check = sketch[c]
+        if abs(n) == 1 and chained(key, 7) >> 32 == check:
+            found[n].add(key)
+            for at in places(key, cells):
+                cell = sketch.setdefault(at, [0, 0, 0])
+                cell[0] -= n
+                cell[1] ^= key
+                cell[2] ^= check
+                todo.append(at)
+    return found, not any(any(v) for v in sketch.values())
+
+
+def subtracted(one, other):
+    """Likeness from two fingerprints alone: bring them to one size, subtract, peel."""
+    (ca, a), (cb, b) = sorted([parsed(one), parsed(other)], key=lambda x: x[0])
+    (own, fine), (others, fine_too) = listed(ca, a), listed(cb, b)
+    assert fine and fine_too and not own[-1] and not others[-1]  # each lists itself
+    total = len(own[1]) + len(others[1])
+    if ca < cb:
+        a = {}
+        for key in own[1]:
+            for at in places(key, cb):
+                n, x, y = a.get(at, (0, 0, 0))
+                a[at] = n + 1, x ^ key, y ^ (chained(key, 7) >> 32)
+    none = (0, 0, 0)
+    difference = {c: (a.get(c, none)[0] - b.get(c, none)[0], a.get(c, none)[1] ^ b.get(c, none)[1], a.get(c, none)[2] ^ b.get(c, none)[2]) for c in a | b}
+    found, whole = listed(cb, difference)
+    n = len(found[1]) + len(found[-1]) if whole else len(own[1] ^ others[1])
+    return (total - n) / (total + n) if total else 1.0
 
 
 def alike(a, b):
@@ -228,6 +315,8 @@ def check_sketches(spark, rows):
         e = a[: len(a) - k] + b[:k]
         for r in by[doc]:
             assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and r["n_chars"] == len(a)
+            nexts = by[order[(i + 1) % len(order)][0]][0]["fingerprint"]
+            assert abs(r["near_edited"] - subtracted(r["fingerprint"], r["edited_fingerprint"])) < 1e-12 and abs(r["near_next"] - subtracted(r["fingerprint"], nexts)) < 1e-12
             assert abs(r["near_edited"] - alike(pieces(a), pieces(e))) < 1e-12 and abs(r["near_next"] - alike(pieces(a), pieces(b))) < 1e-12
             digest = lambda s: xxhash.xxh64_intdigest(s.encode(), 42)
             signed = lambda n: n - (1 << 64) if n >> 63 else n
@@ -250,6 +339,21 @@ def test_sketches_of_edges(spark):
     assert sketch.fingerprints(documents(spark, [])).count() == 0
 
 
+def test_one_line_texts_keep_a_likeness(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices([chr(c) for c in range(0x4E00, 0x5E00)], k=n)), "en", "s") for i, n in enumerate([3, 4, 5, 7, 12, 30, 75, 75, 75, 76, 150, 400, 800, 1600])]
+    for r in check_sketches(spark, rows):
+        assert 0.1 < r["near_edited"] < 1 and (r["near_next"] < 0.1 or r["n_chars"] < 30), r
+
+
+def test_texts_of_neighbouring_lengths_share_slices(spark):
+    text = "".join(random.Random(8).choices("abcdefghijklmnop ", k=400))
+    for n in (118, 236, 238, 390):
+        assert alike(pieces(text[:n]), pieces(text[: n + 8])) > 0.2
+    made = {r["id"]: r["d"] for r in spark.createDataFrame([(n, text[:n]) for n in (236, 244)], "id long, t string").select("id", sketch.digests(F.col("t")).alias("d")).collect()}
+    assert len(set(made[236]) & set(made[244])) >= len(pieces(text[:236]) & pieces(text[:244])) > 0
+
+
 def test_equal_texts_have_equal_fingerprints(spark):
     found = sketch.fingerprints(documents(spark, [(i, "same\ntext", "en", "s") for i in range(5)] + [(9, "other", "en", "s")])).collect()
     assert len({r["fingerprint"] for r in found if r["doc_id"] < 5}) == 1 and len({r["fingerprint"] for r in found}) == 2
@@ -327,6 +431,19 @@ def test_mixing_edges(spark):
     check_mix(spark, [(1, None, "en", "a"), (2, "", "en", "b")])
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_rows_without_an_id_are_taken_one_by_one(spark, same_text):
+    rows = [(None if i % 4 else 7, "w x y z" if same_text else f"w x y z{i}", "en", "a") for i in range(200)] + [(1, "v " * 800, "en", "b"), (None, "w x y z", "en", "b")]
+    docs = documents(spark, rows)
+    plan = mixing.plan(docs, (1, 3))
+    found = plan.mix().collect()
+    taken = sum(r["taken"] for r in found if r["source_size"] == 800)
+    target = {r["target"] for r in found if r["source_size"] == 800}.pop()
+    assert target < 800 and abs(taken - target) <= 4 and all(r["taken"] in (0, 4) for r in found if r["source_size"] == 800)
+    assert sorted(map(str, found)) == sorted(map(str, mixing.plan(docs.repartition(7), (1, 3)).mix().collect()))
+    assert plan.apply(docs).where("source = 'a'").count() == taken / 4
+
+
 def test_mix_repeats_documents(spark):
     docs = documents(spark, random_docs(100, 6))
     plan = mixing.plan(docs)
@@ -404,6 +521,27 @@ def test_one_row_of_each_component_stays_whatever_its_id(spark):
     assert sorted(kept) == sorted([(1, a), (2, b)])
 
 
+@pytest.mark.parametrize("few", [-1, 1 << 20])
+def test_components_whose_roots_are_joined_or_broadcast(spark, monkeypatch, few):
+    from tallyforge.llm import scratch
+
+    monkeypatch.setattr(scratch.looked_up, "__defaults__", ("inner", few))
+    rng = random.Random(3)
+    pairs = [tuple(sorted(rng.sample(range(120), 2))) for _ in range(70)] + [(0, i) for i in range(200, 260)]
+    tops = {i: i for p in pairs for i in p}
+
+    def find(i):
+        while tops[i] != i:
+            i = tops[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        tops[b] = a
+    found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {i: find(i) for i in tops}
+
+
 def test_chain_of_links_is_one_component(spark):
     rng = random.Random(1)
     chain, value = [], 0

@@ -38,6 +38,42 @@ def test_urls_against_brute_force(spark):
         assert (r["rule"], r["verdict"]) == judged(r["host"], r["path"], rules), urls[r["page_id"]]
 
 
+def taken_apart(url):
+    """Host and path by plain steps."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    end = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
+    host, rest = rest[:end], rest[end:]
+    end = min([i for i in map(rest.find, "?#") if i >= 0], default=len(rest))
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), rest[:end]
+
+
+def test_whole_urls_against_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(9)
+    parts = ["http", "://", "/", "?", "#", "example.org", "EXAMPLE.com", "a.", "com", ".org", "de/", "/de/", "/en/1", "fr", "es/", "Ä", "\n", "u="]
+    urls = [None, "", "http://a.org?u=http://b.com/de/x", "http://x.com#http://example.org/de/1"] + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(600)]
+    urls += ["http://" + u for u in urls[4:300]] + ["http://hot.com/de/1"] * 500
+    pages = spark.createDataFrame([(i % 700, u, "r", "h", "p", "v") for i, u in enumerate(urls)], "page_id long, url string, rule string, host string, path string, verdict string")
+    found = url_filter.judge(pages, url_filter.rules_table(spark, url_filter.RULES))
+    rows = sorted(map(tuple, found.collect()), key=str)
+    want = [(i % 700, *(p := taken_apart(u)), *judged(*p, url_filter.RULES)) for i, u in enumerate(urls)]
+    assert rows == sorted(want, key=str)
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    assert sorted(con.sql(url_filter.SQL).fetchall(), key=str) == rows
+
+
+def test_verdicts_are_joined_where_they_are_many(spark, monkeypatch):
+    urls = ["http://a.org/x", "http://b.com/de/1", "http://b.com/", None] * 5
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.rules_table(spark, url_filter.RULES)
+    few = sorted(map(tuple, url_filter.judge(pages, rules).collect()))
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, url_filter.judge(pages, rules).collect())) == few
+
+
 def test_url_edges(spark):
     urls = [None, "", "nothing", "://", "http://A.ORG", "x://org/", "x://org/", "http://" + "a." * 300 + "org/" + "p" * 5000]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
@@ -86,6 +122,46 @@ def test_grams_by_hand():
         assert dict(zip(keys.tolist(), counts.tolist())) == dict(want)
 
 
+def test_words_over_a_cut_stay_whole(monkeypatch):
+    text = "Straße, " * 40 + "Ŋ" * 50 + " a b  c" * 20
+    want = language.grams(text)
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(language.grams(text), want))
+
+
+def test_distances_and_scores_by_hand():
+    rng = random.Random(7)
+    make = lambda letters, n: " ".join("".join(rng.choices(letters, k=4)) for _ in range(n))
+    code = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+
+    def order(text, most):
+        counts = Counter()
+        for g, n in slow_grams(text).items():
+            counts[code(g)] += n
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:most]
+
+    slow = {name: order(make(letters, 80), 30) for name, letters in (("aa", "abcdef"), ("bb", "abcghi"), ("cc", "xyz"))}
+    profiles = language.Profiles([], [], [], 30)
+    for name, ranked in slow.items():
+        keys = np.array(ranked)
+        profiles.names.append(name)
+        profiles.keys.append(np.sort(keys))
+        profiles.ranks.append(np.argsort(keys))
+    for _ in range(60):
+        text = make(rng.choice(["abcdef", "abcghi", "xyza", "q"]), rng.randint(1, 20))
+        own = order(text, 30)
+        far = {name: sum(abs(ranked.index(g) - i) if g in ranked else 30 for i, g in enumerate(own)) for name, ranked in slow.items()}
+        best = min(slow, key=lambda n: (far[n], n))
+        assert profiles.judge(text) == (best, 1 - far[best] / (30 * len(own)))
+    assert profiles.judge("qqq") == ("aa", 0.0)  # as far from all: the first by name
+
+
+def test_languages_of_an_empty_table(spark, tmp_path):
+    documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert language.op2_language(spark, str(tmp_path)).count() == 0
+
+
 def test_languages(spark):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(60))
@@ -152,6 +228,65 @@ def test_main_text_of_odd_markup():
     assert text("<p>in<b>l</b>ine <span hidden>no</span>yes</p>") in ("inline\n\nyes", "inline yes")
 
 
+@pytest.mark.parametrize("html_text", ["<div>" * 200_000 + "deep", "<a " * 200_000, "<b><div></div>" * 50_000 + "deep", "<blockquote>deep " * 30_000, "<div>" * 30_000 + "<li></li>" * 30_000 + "deep", "<svg>" * 50_000 + "deep", "<a '>' " * 50_000 + '"', "<div class='c7 d'>" * 50_000 + "deep"], ids=range(8))
+def test_main_text_of_long_markup_takes_linear_time(html_text):
+    import time
+
+    began = time.process_time()
+    page = html.Page(html_text)
+    text = page.text([page.paths[page.best()[0]]])
+    assert text or html_text.startswith("<a")
+    assert time.process_time() - began < 30
+
+
+def slow_text(node, dull=False):
+    """Blocks of a generated tree, by recursion."""
+    tag, attributes, children = node
+    dull = dull or tag in ("nav", "footer", "script") or "hidden" in attributes
+    blocks, line = [], []
+    for child in children:
+        if isinstance(child, str):
+            line.append(child)
+            continue
+        if line:
+            blocks.append(("".join(line), dull))
+            line = []
+        blocks += slow_text(child, dull)
+    if line:
+        blocks.append(("".join(line), dull))
+    return [b for b in blocks if tag != "script"]
+
+
+def test_main_text_of_generated_trees():
+    rng = random.Random(6)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "p", "nav", "footer", "script"]) if depth < 4 else "p"
+        attributes = " hidden" if rng.random() < 0.1 and tag == "div" else ""
+        if tag in ("p", "script"):
+            return tag, attributes, [f"text {rng.randrange(1000)}"]
+        return tag, attributes, [tree(depth + 1) for _ in range(rng.randint(1, 4))]
+
+    def shown(node):
+        tag, attributes, children = node
+        return f"<{tag}{attributes}>" + "".join(c if isinstance(c, str) else shown(c) for c in children) + f"</{tag}>"
+
+    for _ in range(300):
+        node = ("article", "", [tree(0) for _ in range(rng.randint(1, 5))])
+        page = html.Page(f"<html><body><nav><p>menu</p></nav>{shown(node)}<footer><p>end</p></footer></body></html>")
+        want = "\n\n".join(t for t, dull in slow_text(node) if not dull)
+        assert page.text(["/article"]) == want and page.text(["/none"]) == want
+
+
+def test_votes_and_ties_between_paths(spark):
+    one, two = "<div class=a><p>text</p></div>", "<div class=b><p>text</p></div>"
+    rows = [(i, "http://h.org/x", h) for i, h in enumerate([one, two])] + [(9, "http://h.org/y", one.replace("text", "first") + two.replace("text", "other"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r["paths"] for r in html.winners(pages.where("page_id < 2")).collect()] == [["/div.a", "/div.b"]]  # as many votes: the first by name
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == {0: "text", 1: "text", 9: "first"}
+    assert html.Page("<div class='w-1/2'><p>x</p></div>").text(["/div.w-#%2F#"]) == "x"
+
+
 # Toxicity
 
 
@@ -211,6 +346,43 @@ def test_hits_by_hand():
         assert sorted(lexicon.hits(folded)) == sorted(want)
 
 
+def test_hits_among_many_phrases_against_brute_force():
+    rng = random.Random(2)
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " wor": 1.5, " b": 0.5}, [" bad duck ", " duck bad duck ", " so bad "])
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(rng.choices(["bad", "duck", "so", "worse", "b", "x"], k=rng.randint(0, 25))))
+        every = lambda t: [(i, i + len(t)) for i in range(len(folded)) if folded.startswith(t, i)]
+        spans = [s for p in lexicon.phrases for s in every(p)]
+        want = [(a, b, w) for t, w in lexicon.terms.items() for a, b in every(t) if not any(c <= a and b <= d for c, d in spans)]
+        assert sorted(lexicon.hits(folded)) == sorted(want)
+    many = toxicity.fold("bad duck " * 40_000)
+    assert {w for _, _, w in lexicon.hits(many)} == set()
+
+
+def test_terms_of_words_by_hand():
+    found = toxicity._Terms().counts("grumbo grumbo ab " + "x" * 100)
+    want = {"": 4, " grumbo ": 2, " gru": 2, " grum": 2, " grumb": 2, f" {'x' * 100} ": 1} | {f" {'x' * n}": 1 for n in [*range(3, 33), 64]}
+    assert found == want
+    assert max(map(len, toxicity._Terms().counts("z" * 5000))) == 257
+    among = toxicity._Terms(frozenset([" gru", " grum", " grumbo "]))
+    assert among.counts("grumbo grumpy grind") == {"": 3, " gru": 2, " grum": 2, " grumbo ": 1}
+
+
+def test_long_words_in_labelled_texts(spark):
+    docs, labels = labelled_corpus(spark)
+    long = documents(spark, [(4 * i, "y" * 1_000_000 + " flarg", "en", "s") for i in range(1000, 1012)])
+    more = spark.createDataFrame([(4 * i, 1, 1) for i in range(1000, 1012)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(docs.union(long).union(docs), labels.union(more))  # and repeated rows
+    assert lexicon.score(["you flarg!", "x" * 10_000])[0] >= 0.3 and max(map(len, lexicon.terms)) <= 258
+
+
+def test_scores_by_hand():
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " wor": 1.5}, [" bad luck "], -1.0, (0.5, 0.25, 0.125))
+    for text, weights, n in (("bad luck", [], 2), ("so bad worse bad luck", [2.0, 1.5], 5), (None, [], 0), ("worst", [1.5], 1)):
+        x = [np.log1p(sum(weights)), np.log1p(1000 * sum(weights) / max(1, n)) if weights else 0.0, max(weights, default=0.0)]
+        assert np.isclose(lexicon.score([text])[0], 1 / (1 + np.exp(1 - x[0] / 2 - x[1] / 4 - x[2] / 8)))
+
+
 def test_held_out_toxicity(spark):
     found = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
     tp, fp, fn = found.agg(*[F.sum((F.expr(e)).cast("int")) for e in ("predicted = 1 and toxic = 1", "predicted = 1 and toxic = 0", "predicted = 0 and toxic = 1")]).first()
@@ -261,6 +433,22 @@ def test_sample_is_bounded(spark):
     assert learned.count() == labels.where("quality is not null and doc_id is not null and doc_id < 300").select("doc_id").distinct().where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()
 
 
+def test_rows_of_one_labelled_id_count_once(spark):
+    docs = documents(spark, [(1, f"text {i}", "en", "s") for i in range(3000)] + [(1, None, "en", "s"), (2, "two", "en", "s")])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    found = sample(docs.union(docs), labels, "quality", 5, 99).collect()
+    assert len(found) == 2 and {r["y"] for r in found} == {0, 1} and all(r["text"] for r in found)
+    assert found == sample(docs.repartition(3), labels, "quality", 5, 99).collect() or sorted(found) == sorted(sample(docs.repartition(3), labels, "quality", 5, 99).collect())
+    assert sample(docs, labels, "quality", 5, 99, most=1).count() == 1
+
+
+def test_quality_of_edges(spark):
+    docs, labels = labelled_corpus(spark)
+    trees = quality.fit(docs.union(docs), labels)
+    assert len(trees.score(quality._matrix([]))) == 0
+    assert (quality.fit(docs.limit(0), labels).score(quality._matrix(["a", None])) == 0.5).all()
+
+
 def test_logistic():
     x = np.column_stack([np.ones(400), np.linspace(-3, 3, 400)])
     w = logistic(x, (x[:, 1] > 1).astype(float))
