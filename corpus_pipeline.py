@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Cut(stage(spark, docs, sf_dir), f"stage-{name}").df
+        cut = Cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            last.drop()
+        docs, last = cut.df, cut
     return STAGES[-1][1](spark, docs, sf_dir)
