@@ -377,8 +377,8 @@ def test_long_words_in_labelled_texts(spark):
 
 
 def test_scores_by_hand():
-    lexicon = toxicity.Lexicon({" bad ": 2.0, " wor": 1.5}, [" bad luck "], -1.0, (0.5, 0.25, 0.125))
-    for text, weights, n in (("bad luck", [], 2), ("so bad worse bad luck", [2.0, 1.5], 5), (None, [], 0), ("worst", [1.5], 1)):
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " wor": 1.5}, [" bad duck "], -1.0, (0.5, 0.25, 0.125))
+    for text, weights, n in (("bad duck", [], 2), ("so bad worse bad duck", [2.0, 1.5], 5), (None, [], 0), ("worst", [1.5], 1)):
         x = [np.log1p(sum(weights)), np.log1p(1000 * sum(weights) / max(1, n)) if weights else 0.0, max(weights, default=0.0)]
         assert np.isclose(lexicon.score([text])[0], 1 / (1 + np.exp(1 - x[0] / 2 - x[1] / 4 - x[2] / 8)))
 
