@@ -104,7 +104,7 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def _versions(docs: DataFrame, pairs: DataFrame, once: bool, some: bool) -> DataFrame:
-    """The digests of each document (a), its edited text (e) and its successor (x): k1, k2, a, e, x, sha."""
+    """The digests of each document (a), its edited text (e) and its successor (x): k1, k2, a, e, x, sha, and what the rows need to come out: n_chars, times, no_id."""
     keyed = _keyed(docs).select("k1", "k2", "text")
     if some:  # only the texts of the pairs that are left
         wanted = pairs.select(F.col("k1").alias("w1"), F.col("k2").alias("w2")).union(pairs.select("s1", "s2")).distinct()
@@ -113,12 +113,13 @@ def _versions(docs: DataFrame, pairs: DataFrame, once: bool, some: bool) -> Data
         keyed = keyed.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")), "left_semi")
     if not once:
         keyed = keyed.dropDuplicates(["k1", "k2"])
-    needs = pairs.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "s1", "s2")
-    heads = keyed.join(needs, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("o1", "o2", "need", F.left("text", F.col("need")).alias("head"), digests(F.col("text")).alias("x"))
+    facts = ["n_chars", "times", "no_id"]
+    needs = pairs.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"), "s1", "s2", "n_chars", "times", F.col("doc_id").isNull().cast("long").alias("no_id"))
+    heads = keyed.join(needs, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("o1", "o2", "need", *facts, F.left("text", F.col("need")).alias("head"), digests(F.col("text")).alias("x"))
     both = keyed.join(heads, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
     edited = F.concat(F.left("text", F.char_length("text") - F.col("need")), F.col("head"))
-    made = both.select("k1", "k2", edited.alias("edited"), digests(F.col("text")).alias("a"), "x")
-    return made.select("k1", "k2", "a", digests(F.col("edited")).alias("e"), "x", F.sha2(F.col("edited"), 256).alias("sha"))
+    made = both.select("k1", "k2", *facts, edited.alias("edited"), digests(F.col("text")).alias("a"), "x")
+    return made.select("k1", "k2", *facts, "a", digests(F.col("edited")).alias("e"), "x", F.sha2(F.col("edited"), 256).alias("sha"))
 
 
 def _planes(versions: DataFrame, attempt: int, exact: bool) -> DataFrame:
@@ -133,7 +134,7 @@ def _planes(versions: DataFrame, attempt: int, exact: bool) -> DataFrame:
     sized = sized.withColumn("shape", F.col("la") + 64 * F.col("le") + 4096 * F.greatest("la", "le") + 262144 * F.col("l1"))
     tagged = lambda t, c: F.transform(F.col(c), lambda k: F.struct(F.lit(t).alias("t"), k.alias("key")))
     sha = [F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10) for i in range(4)]
-    plain = [F.struct(F.lit(t).alias("t"), v.cast("long").alias("key")) for t, v in zip((10, 11, 12, 20, 21, 22, 23), (F.col("na"), F.col("ne"), F.col("nx"), *sha))]
+    plain = [F.struct(F.lit(t).alias("t"), v.cast("long").alias("key")) for t, v in zip((10, 11, 12, 13, 14, 15, 20, 21, 22, 23), (*map(F.col, ("na", "ne", "nx", "n_chars", "times", "no_id")), *sha))]
     entries = sized.select("k1", "k2", "shape", F.explode(F.concat(*[tagged(t, c) for t, c in enumerate("aex")], F.array(*plain))).alias("i")).select("k1", "k2", "shape", "i.t", "i.key")
 
     # sizes, as powers of two: of the document's sketch, its edited text's, and both pairs'
@@ -232,7 +233,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int, exact
     rows = rows.withColumn("shown", F.when(p.isin(OWN, EDITED), shown).when(p == SHA, F.concat(cell.cast("string"), _hex(F.col("key"), 16))))
     count = lambda test: F.count(F.when(test, 1))
     aggregates = [F.array_sort(F.collect_list(F.when(p == SHA, F.col("shown")))).alias("sha")]
-    aggregates += [F.max(F.when((p == SIZES) & (cell == i), F.col("key"))).alias(f"size{i}") for i in range(3)]
+    aggregates += [F.max(F.when((p == SIZES) & (cell == i), F.col("key"))).alias(n) for i, n in enumerate(("size0", "size1", "size2", "n_chars", "times", "no_id"))]
     for plane in FOUND:
         aggregates.append(count((p == plane) & ((cnt != 0) | (F.col("key") != 0) | (F.col("chk") != 0))).alias(f"stuck{plane}"))
         if plane >= OWN:
@@ -250,7 +251,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, once: bool, attempt: int, exact
         values[name] = F.concat(F.lower(F.hex(F.coalesce(f"cells{plane}", F.lit(0)))), F.lit(":"), F.array_join(f"text{plane}", "."))
     columns = [(values[n] if last and plane >= OWN else F.when(F.col(f"stuck{plane}") == 0, values[n])).alias(n) for plane, names in FOUND.items() for n in names]
     sha = F.array_join(F.transform("sha", lambda x: F.substring(x, 2, 16)), "")
-    return made.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.lit(attempt).alias("attempt"), sha.alias("edited_sha256"), *columns)
+    return made.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.when(F.col("no_id") == 0, F.col("k1")).alias("doc_id"), "n_chars", "times", F.lit(attempt).alias("attempt"), sha.alias("edited_sha256"), *columns)
 
 
 def fingerprints(docs: DataFrame, attempts: int = 9) -> DataFrame:
@@ -282,10 +283,12 @@ def fingerprints(docs: DataFrame, attempts: int = 9) -> DataFrame:
         several = tried[0].where(f"not ({whole})")
         for more in tried[1:]:
             several = several.union(more)
+        facts = [F.first(c).alias(c) for c in ("doc_id", "n_chars", "times")]
         first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("attempt"))).alias(c)
-        merged = several.groupBy("g1", "g2").agg(F.min("attempt").alias("attempt"), *[first(c) for c in ("edited_sha256", *names)])
+        merged = several.groupBy("g1", "g2").agg(*facts, F.min("attempt").alias("attempt"), *[first(c) for c in ("edited_sha256", *names)])
         found = tried[0].where(whole).unionByName(merged)
-    named = pairs.select("k1", "k2", "doc_id", "n_chars", "times").join(found, same)
+    # nothing is joined here: the strings would be shuffled
+    named = found
     if not once:
         named = named.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "removed", "added")
