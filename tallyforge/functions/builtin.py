@@ -9,6 +9,9 @@ import re
 import zlib
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +46,17 @@ for _n in "exp sqrt sin cos tan asin acos atan cosh sinh tanh asinh acosh atanh
 add("log1p", [FLOAT], FLOAT, lambda x: F.when(x > -1, F.log1p(x)).when(x == -1, F.lit(-math.inf)).when(x < -1, F.lit(math.nan)).otherwise(x))
 add("todegrees", [FLOAT], FLOAT, F.degrees)
 add("toradians", [FLOAT], FLOAT, F.radians)
-add("ceil", [FLOAT], FLOAT, lambda x: F.ceil(x).cast("double"))
-add("floor", [FLOAT], FLOAT, lambda x: F.floor(x).cast("double"))
-add("round", [FLOAT], FLOAT, lambda x: F.floor(x + 0.5).cast("double"))
-add("trunc", [FLOAT], FLOAT, lambda x: F.when(F.isnan(x) | (F.abs(x) == math.inf), x).when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double")))
+
+
+def _whole(f):
+    """Rounding by way of longs; what has no fraction, or is not finite, stays as it is."""
+    return lambda x: F.when(F.abs(x) < float(1 << 52), f(x).cast("double")).otherwise(x)
+
+
+add("ceil", [FLOAT], FLOAT, _whole(F.ceil))
+add("floor", [FLOAT], FLOAT, _whole(F.floor))
+add("round", [FLOAT], FLOAT, _whole(lambda x: F.floor(x + 0.5)))
+add("trunc", [FLOAT], FLOAT, _whole(lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))))
 add("pow", [FLOAT, FLOAT], FLOAT, F.pow)
 add("atan2", [FLOAT, FLOAT], FLOAT, F.atan2)
 add("hypot", [FLOAT, FLOAT], FLOAT, F.hypot)
@@ -168,7 +178,23 @@ def _strreplace(s: Column, old: Column, new: Column, every: Column) -> Column:
 
 
 add("strreplace", [STRING, STRING, STRING, BOOL], STRING, _strreplace)
-add("match", [STRING, STRING], BOOL, lambda r, s: F.regexp_like(s, r))
+
+
+def _checked(pattern):
+    """A constant pattern, which must compile; one that comes from records is a column, and stays one."""
+    if isinstance(pattern, str):
+        try:
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, IllegalArgumentException) as problem:
+            raise TypeProblem(f"no pattern: {pattern} ({problem})") from None
+    return pattern
+
+
+def _match(r, s: Column) -> Column:
+    return F.regexp_like(s, F.lit(_checked(r)))
+
+
+add("match", [STRING, STRING], BOOL, _match, True)
 
 
 def _groups(pattern: str) -> int:
@@ -182,14 +208,19 @@ def _matchstrs(r, s: Column) -> Column:
     """The groups of the first match, the whole match first; empty without a match."""
     if not isinstance(r, str):
         raise TypeProblem("matchstrs and matchposns take a constant pattern")
+    _checked(r)
     return F.when(F.regexp_like(s, F.lit(r)), F.array(*[F.regexp_extract(s, r, i) for i in range(_groups(r) + 1)])).when(s.isNotNull(), F.array().cast("array<string>"))
 
 
 def _matchposns(r, s: Column) -> Column:
-    """Start and end of the first match and of its groups; the groups by the pattern's prefixes, in Arrow batches."""
+    """Start and end of the first match and of its groups, by Python's patterns, in Arrow batches: Spark has no places of groups."""
     pattern = r if isinstance(r, str) else None
     if pattern is None:
         raise TypeProblem("matchstrs and matchposns take a constant pattern")
+    try:
+        re.compile(pattern)
+    except re.error as problem:
+        raise TypeProblem(f"no pattern: {pattern} ({problem})") from None
 
     @F.pandas_udf("array<long>")
     def posns(texts: pd.Series) -> pd.Series:

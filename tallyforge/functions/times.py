@@ -45,7 +45,7 @@ def truncated(t: Column, unit: str, zone=None) -> Column:
     if unit == "MINUTE":
         return t - F.pmod(t, F.lit(60_000_000))
     if unit == "HOUR":
-        return t - (F.minute(local(t, zone)) * 60_000_000 + F.pmod(t, F.lit(60_000_000)))
+        return t - (F.minute(local(t, zone)).cast("long") * 60_000_000 + F.pmod(t, F.lit(60_000_000)))
     day = local(t, zone).cast("date")
     return micros((day if unit == "DAY" else F.trunc(day, unit)).cast("timestamp_ntz"), zone)
 

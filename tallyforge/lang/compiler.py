@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.builtin import BUILTIN
 from ..functions.registry import Registry
 from ..operators.aggregators import AGGREGATORS
-from ..plans.program import EmitSite, TableSpec, result
+from ..plans.program import EmitSite, TableSpec, result, staged
 from .syntax import Node, parse
 from .types import ANY, BOOL, BYTES, FINGERPRINT, FLOAT, INT, SCALARS, STRING, TIME, Array, Function, Map, Scalar, Table, Tuple, TypeProblem, Unsupported, arithmetic, assignable, comparable, from_spark, spark_type
 
@@ -790,12 +790,12 @@ class Compiler:
             raise TypeProblem(f"line {n.line}: no pattern for {t}")
         return V(STRING, F.lit(pattern), pattern)
 
-    def results(self) -> dict[str, DataFrame]:
+    def results(self, emits: str | None = None) -> dict[str, DataFrame]:
         """Each table that something is emitted to."""
-        made = {}
-        for name, sites in self.sites.items():
-            made[name] = result(self.specs[name], [EmitSite(f.df, i, v, w, g) for f, i, v, w, g in sites])
-        return made
+        sites = {name: [EmitSite(f.df, i, v, w, g) for f, i, v, w, g in some] for name, some in self.sites.items()}
+        if emits and sites:
+            return staged(self.specs, sites, emits)
+        return {name: result(self.specs[name], some) for name, some in sites.items()}
 
 
 #: The patterns of the language's literals, by type and base.
@@ -833,10 +833,13 @@ def _as(c: Column, t) -> Column:
     return c
 
 
-def compile_program(text: str, df: DataFrame, registry: Registry = BUILTIN, protos: dict | None = None, include=None) -> dict[str, DataFrame]:
+def compile_program(text: str, df: DataFrame, registry: Registry = BUILTIN, protos: dict | None = None, include=None, emits: str | None = None) -> dict[str, DataFrame]:
     """The result of each table of a program over the records of ``df``.
 
     ``df``: lines in a string column ``value``, or any rows, whose columns are the members of input.
+    The emits of a table over the same rows are one pass over them. ``emits``, a shared folder that
+    does not exist yet: all tables' emits are written there first, so the input is read once for all
+    tables, and each table reads its own emits.
     """
     compiler = Compiler(df, registry, protos, include)
     try:
@@ -845,4 +848,4 @@ def compile_program(text: str, df: DataFrame, registry: Registry = BUILTIN, prot
         from .interpreter import interpreted
 
         return interpreted(text, df, registry, protos, include)
-    return compiler.results()
+    return compiler.results(emits)

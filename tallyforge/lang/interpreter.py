@@ -11,6 +11,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,7 +69,28 @@ def _string(x, base=None):
         return "true" if x else "false"
     if isinstance(x, bytes):
         return x.decode("utf-8", "replace")
-    return str(x)
+    return _double(x) if isinstance(x, float) else str(x)
+
+
+def _double(x: float) -> str:
+    """A float as the columns write it: from 0.001 to below 10,000,000 plainly, else with an exponent."""
+    if math.isnan(x) or math.isinf(x):
+        return "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"
+    _, digits, exponent = Decimal(repr(abs(x))).as_tuple()
+    digits, sign = "".join(map(str, digits)).rstrip("0") or "0", "-" if math.copysign(1, x) < 0 else ""
+    if x == 0:
+        return f"{sign}0.0"
+    exponent = Decimal(repr(abs(x))).adjusted()
+    digits = digits.lstrip("0")
+    if -3 <= exponent < 7:
+        whole, rest = (digits[: exponent + 1].ljust(exponent + 1, "0"), digits[exponent + 1 :]) if exponent >= 0 else ("0", "0" * (-exponent - 1) + digits)
+        return f"{sign}{whole}.{rest or '0'}"
+    return f"{sign}{digits[0]}.{digits[1:] or '0'}E{exponent}"
+
+
+def _round(f):
+    """Rounding; what has no fraction, or is not finite, stays as it is."""
+    return lambda x: float(f(x)) if abs(x) < 1 << 52 else float(x)
 
 
 def _saw(s, *patterns, limit=1):
@@ -96,7 +118,7 @@ FUNCTIONS = {
     "bytes": lambda x: x.encode() if isinstance(x, str) else x, "abs": abs, "fabs": abs, "max": max, "min": min, "pow": lambda a, b: float(a) ** b,
     "sqrt": _real(lambda x: math.sqrt(x) if x >= 0 else math.nan), "ln": _real(lambda x: math.log(x) if x > 0 else -math.inf if x == 0 else math.nan),
     "log10": _real(lambda x: math.log10(x) if x > 0 else -math.inf if x == 0 else math.nan), "exp": _real(math.exp), "sin": _real(math.sin), "cos": _real(math.cos), "tan": _real(math.tan),
-    "floor": _real(lambda x: float(math.floor(x))), "ceil": _real(lambda x: float(math.ceil(x))), "round": _real(lambda x: float(math.floor(x + 0.5))), "trunc": _real(lambda x: float(math.trunc(x))),
+    "floor": _real(_round(math.floor)), "ceil": _real(_round(math.ceil)), "round": _real(_round(lambda x: math.floor(x + 0.5))), "trunc": _real(_round(math.trunc)),
     "isnan": math.isnan, "isinf": math.isinf, "isfinite": math.isfinite, "haskey": lambda m, k: k in m, "keys": sorted, "lookup": lambda m, k, d: m.get(k, d), "sort": lambda a, *_: sorted(a),
     "format": lambda f, *a: re.sub(r"%([-+ 0#]*\d*(?:\.\d+)?)[kq]", r'"%\1s"', f) % a,
 }

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,18 +52,65 @@ def result(spec: TableSpec, sites: list[EmitSite]) -> DataFrame:
         raise AggregatorProblem(f"{spec.aggregator} takes {how.params} parameters")
     if not sites:
         raise AggregatorProblem("nothing is emitted to the table")
-    weight = "weight" if spec.weighted else None
-    parts = []
+    df = reduce(lambda a, b: a.unionByName(b), [emitted(spec, some) for some in _by_frame(sites)])
+    return how.plan(Emits(df, [n for n, _ in spec.index], [n for n, _ in spec.values], "weight" if spec.weighted else None, tuple(spec.params), spec.exact))
+
+
+def _by_frame(sites: list[EmitSite]) -> list[list[EmitSite]]:
+    """Sites over the same rows, together."""
+    found: dict[int, list[EmitSite]] = {}
     for site in sites:
-        columns = [_typed(c, t).alias(n) for c, (n, t) in zip(site.index + site.values, spec.index + spec.values)]
-        names = [n for n, _ in spec.index + spec.values]
-        df = site.df if site.when is None else site.df.where(site.when)
-        if weight:
-            columns.append(_typed(site.weight if site.weight is not None else F.lit(None), spec.weight).alias(weight))
-        part = df.select(*columns)
-        parts.append(part.where(reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names])))
-    df = reduce(lambda a, b: a.unionByName(b), parts)
-    return how.plan(Emits(df, [n for n, _ in spec.index], [n for n, _ in spec.values], weight, tuple(spec.params), spec.exact))
+        found.setdefault(id(site.df), []).append(site)
+    return list(found.values())
+
+
+def _columns(spec: TableSpec, site: EmitSite) -> list[Column]:
+    columns = [_typed(c, t).alias(n) for c, (n, t) in zip(site.index + site.values, spec.index + spec.values)]
+    if spec.weighted:
+        columns.append(_typed(site.weight if site.weight is not None else F.lit(None), spec.weight).alias("weight"))
+    return columns
+
+
+def emitted(spec: TableSpec, sites: list[EmitSite]) -> DataFrame:
+    """The rows that sites over the same rows emit, in one pass; a lone site's guard can be pushed to the scan."""
+    defined = [n for n, _ in spec.index + spec.values]
+    if len(sites) == 1 or any(t is None for _, t in spec.index + spec.values):
+        parts = [(s.df if s.when is None else s.df.where(s.when)).select(*_columns(spec, s)) for s in sites]
+        df = reduce(lambda a, b: a.unionByName(b), parts)
+    else:
+        rows = [F.struct(*_columns(spec, s)) if s.when is None else F.when(s.when, F.struct(*_columns(spec, s))) for s in sites]
+        df = sites[0].df.select(F.explode(F.array(*rows)).alias("__row")).where("__row is not null").select("__row.*")
+    return df.where(reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in defined]))
+
+
+def staged(specs: dict[str, TableSpec], sites: dict[str, list[EmitSite]], path: str) -> dict[str, DataFrame]:
+    """The results of several tables, with their inputs read once: all emits are written under ``path``, by table."""
+    spark = next(iter(sites.values()))[0].df.sparkSession
+    all_ = [(name, site) for name, some in sites.items() for site in some]
+    tags = {name: f"t{i}" for i, name in enumerate(sites)}
+    kinds = {}
+    for name, some in sites.items():
+        fields = some[0].df.select(*_columns(specs[name], some[0])).schema
+        kinds[name] = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    parts = []
+    for group in _by_frame([site for _, site in all_]):
+        rows = []
+        for name, site in all_:
+            if any(site is s for s in group):
+                row = F.struct(F.lit(tags[name]).alias("__table"), *[(F.struct(*_columns(specs[n], site)) if n == name else F.lit(None)).cast(kinds[n]).alias(tags[n]) for n in sites])
+                rows.append(row if site.when is None else F.when(site.when, row))
+        parts.append(group[0].df.select(F.explode(F.array(*rows)).alias("__row")).where("__row is not null").select("__row.*"))
+    reduce(lambda a, b: a.unionByName(b), parts).write.partitionBy("__table").parquet(path)
+    written = spark.read.schema(T.StructType([T.StructField(tags[n], kinds[n]) for n in sites] + [T.StructField("__table", T.StringType())])).parquet(path)
+    made = {}
+    for name, spec in specs.items():
+        if name in sites:
+            df = written.where(F.col("__table") == tags[name]).select(f"{tags[name]}.*")
+            names = [n for n, _ in spec.index + spec.values]
+            n = len(spec.index)
+            plain = replace(spec, index=[(c, None) for c in names[:n]], values=[(c, None) for c in names[n:]])
+            made[name] = result(plain, [EmitSite(df, [F.col(f"`{c}`") for c in names[:n]], [F.col(f"`{c}`") for c in names[n:]], F.col("weight") if spec.weighted else None)])
+    return made
 
 
 class Program:
@@ -96,5 +143,8 @@ class Program:
             self.df = self.df.withColumn(name, F.explode(array))
         return self
 
-    def run(self) -> dict[str, DataFrame]:
+    def run(self, emits: str | None = None) -> dict[str, DataFrame]:
+        """Each table's result; with ``emits``, a folder that does not exist yet, the input is read once for all."""
+        if emits:
+            return staged(self.specs, {n: self.sites[n] for n in self.specs if n in self.sites}, emits)
         return {name: result(spec, self.sites.get(name, [])) for name, spec in self.specs.items()}

@@ -7,6 +7,7 @@ import pytest
 from tallyforge import BUILTIN, Registry, compile_program
 from tallyforge.lang.types import INT, STRING, TypeProblem
 
+# What saw, splitcsvline and formattime must give.
 CASES = [
     ('saw("abcdef", "...", "..", ".")', ["abc", "de", "f"]), ('saw("abcdef", "abc", "de", "g")', ["abc", "de"]), ('saw("abcdef", "abc", "e", "f")', ["abc", "e", "f"]), ('saw("abcdef", "abc", "^e", "f")', ["abc"]),
     ('sawzall("1\\t2\\t3\\t4\\t5\\t6\\t7\\t8", "[^\\t]+")', list("12345678")), ('sawn(2, "a1b2c3", "[a-z]", "[0-9]")', ["a", "1", "b", "2"]), ('sawzall("a1b2c", "[a-z]", "[0-9]")', ["a", "1", "b", "2", "c"]),

@@ -52,6 +52,26 @@ def test_loops_stay_columns(spark):
     assert "MapInPandas" in plan(catalog.QUERIES["collatz_steps"](spark, SF))
 
 
+def test_emits_of_a_table_are_one_scan(spark):
+    for name in ("integer_operators", "union_of_emits", "static_map_lookup"):
+        text = plan(catalog.QUERIES[name](spark, SF))
+        assert len(re.findall(r"^\(\d+\) Scan parquet", text, re.M)) == 1, name
+
+
+def test_three_tables_are_one_scan(spark, tmp_path):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    text = "a: table sum of n: int;\nb: table mean of q: float;\nc: table sum[f: string] of n: int;\nemit a <- 1;\nemit b <- input.l_quantity;\nemit c[input.l_returnflag] <- 1;"
+    for made in compile_program(text, df, emits=str(tmp_path / "emits")).values():
+        assert "lineitem" not in plan(made) and "emits" in plan(made)
+
+
+def test_running_sums_share_their_exchange(spark):
+    made = catalog.QUERIES["quantile_of_events"](spark, SF)
+    made.collect()  # the plan as it ran
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text.split("== Initial Plan ==")[0]
+
+
 def test_messages_as_input(spark):
     from tallyforge.lang.types import INT, STRING, Tuple
 

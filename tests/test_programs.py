@@ -4,6 +4,7 @@ import pytest
 
 from tallyforge import sinks
 from tallyforge.lang.compiler import compile_program
+from tallyforge.lang.types import TypeProblem
 
 VERSE = ["To be, or not to be: that is the question:", "Whether 'tis nobler in the mind to suffer", "The slings and arrows of outrageous fortune,", "Or to take arms against a sea of troubles,"]
 
@@ -16,32 +17,43 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_simple(spark):
-    made = run(spark, """
-        count: table sum of int;
-        total: table sum of float;
-        sum_of_squares: table sum of float;
-        x: float = input;
-        emit count <- 1;
-        emit total <- x;
-        emit sum_of_squares <- x * x;""", ["1.0", "2.0", "3.0"])
-    assert {k: rows(v) for k, v in made.items()} == {"count": [(3,)], "total": [(6.0,)], "sum_of_squares": [(14.0,)]}
-
-
-def test_compound(spark):
-    made = run(spark, "t: table sum of { count: int, total: float, squares: float };\nx: float = input;\nemit t <- { 1, x, x * x };", ["1.0", "2.0", "3.0"])
-    assert rows(made["t"]) == [(3, 6.0, 14.0)]
-    assert [r[0] for r in sinks.ordered(sinks.rendered(made["t"], "t")).collect()] == ["t[] = { 3, 6.0, 14.0 }"]
-
-
-def test_csv_top(spark):
+def test_several_tables_over_numbers(spark):
+    text = """
+        readings: table sum of n: int;
+        warmest: table maximum(1) of c: float weight w: float;
+        spread: table sum[side: string] of { n: int, away: float };
+        c: float = float(input);
+        emit readings <- 1;
+        emit warmest <- c weight c;
+        if (c < 20.0) emit spread["cold"] <- { 1, 20.0 - c }; else emit spread["warm"] <- { 1, c - 20.0 };"""
+    made = run(spark, text, ["18.5", "21.25", "none", "25.0", "19.0"])
+    assert {k: rows(v) for k, v in made.items()} == {"readings": [(5,)], "warmest": [(1, 25.0, 25.0)], "spread": [("cold", 2, 2.5), ("warm", 2, 6.25)]}
+    lines = [r[0] for r in sinks.ordered(sinks.rendered(made["spread"], "spread", ["side"])).collect()]
+    assert lines == ["spread[cold] = { 2, 2.5 }", "spread[warm] = { 2, 6.25 }"]
+
+
+def test_all_emits_in_one_pass(spark, tmp_path):
+    text = """
+        words: table sum[word: string] of n: int;
+        longest: table maximum(2) of word: string weight n: int;
+        lines: table sum of { n: int, letters: int };
+        w: array of string = sawzall(input, "[a-z]+");
+        emit lines <- { 1, len(input) };
+        for (i: int = 0; i < len(w); i++) { emit words[w[i]] <- 1; emit longest <- w[i] weight len(w[i]); }
+        emit words["(line)"] <- 1;
+        if (len(w) > 6) emit words["(long line)"] <- 1;"""
+    apart, together = run(spark, text, VERSE), run(spark, text, VERSE, emits=str(tmp_path / "emits"))
+    assert apart.keys() == together.keys() and all(rows(apart[k]) == rows(together[k]) and apart[k].columns == together[k].columns for k in apart)
+
+
+def test_top_of_fields(spark):
     made = run(spark, """
-        max: table top(3) of s: string weight n: int;
-        fields: array of bytes = splitcsvline(bytes(input));
-        w: int = int(string(fields[1], "UTF-8"));
-        if (w != 0) emit max <- string(fields[0], "UTF-8") weight w;""", ["abc,1", "def,2", "ghi,3", "def,4", "jkl,5"])
-    lines = [r[0] for r in sinks.ordered(sinks.rendered(made["max"], "max", aggregator="top")).collect()]
-    assert lines == ["max[] = def, 6, 0", "max[] = jkl, 5, 0", "max[] = ghi, 3, 0"]
+        busiest: table top(2) of port: string weight ships: int;
+        f: array of string = splitcsvline(input);
+        ships: int = int(f[2]);
+        if (ships > 0) emit busiest <- lowercase(f[1]) weight ships;""", ["mon,Oslo,7", "mon,Bergen,0", "tue,oslo,2", "wed,Turku,8", "thu,Bergen,x", "thu"])
+    lines = [r[0] for r in sinks.ordered(sinks.rendered(made["busiest"], "busiest", aggregator="top")).collect()]
+    assert lines == ["busiest[] = oslo, 9, 0", "busiest[] = turku, 8, 0"]
 
 
 def test_word_count(spark):
@@ -200,6 +212,28 @@ def test_members_may_be_keywords(spark):
     assert rows(made["t"]) == [("a", 5, 1)]
 
 
+BOTH = [
+    't: table collection[k: string] of v: string;\nx: float = float(input);\nemit t["x"] <- string(x);\nemit t["floor"] <- string(floor(x)) + " " + string(round(x));\nemit t["int"] <- string(int(x) / 7) + " " + string(int(x) % 7);',
+    't: table sum[k: string] of n: int;\nif (match("^[0-9]+$", input)) emit t["digits"] <- len(input); else emit t["other"] <- strfind("e", input);',
+    't: table collection[k: int] of v: string;\nm: array of string = matchstrs("([0-9])(.)", input);\nemit t[len(m)] <- m[0] + "/" + uppercase(m[2]);',
+]
+
+
+@pytest.mark.parametrize("text", BOTH, ids=range(len(BOTH)))
+def test_columns_and_rows_agree(spark, text):
+    lines = ["1e16", "0.0001", "12345678.5", "-2.5", "1e300", "Infinity", "7", "100", "x1y", "9e-7"]
+    loop = "\ni: int;\nfor (i = 0; i < 3; i++) { if (i == 1) break; }"
+    by_column, by_row = run(spark, text, lines)["t"], run(spark, text + loop, lines)["t"]
+    assert "MapInPandas" in by_row._jdf.queryExecution().toString() and "MapInPandas" not in by_column._jdf.queryExecution().toString()
+    assert rows(by_column) == rows(by_row)
+
+
+def test_a_constant_pattern_must_compile(spark):
+    for text in ('t: table sum of int;\nif (match("(", input)) emit t <- 1;', 't: table collection of string;\nemit t <- matchstrs("[", input)[0];', 't: table sum of int;\nemit t <- matchposns("(", input)[0];'):
+        with pytest.raises(TypeProblem):
+            run(spark, text, ["a"])
+
+
 def test_include(spark):
     made = run(spark, 'include "x.inc"\nemit t <- 1;', ["a"], include={"x.inc": "t: table sum of int;\n"}.get)
     assert rows(made["t"]) == [(1,)]
