@@ -230,16 +230,20 @@ def _counter(e: Emits) -> DataFrame:
     return e.df.groupBy(group.alias("group"), name.alias("counter")).agg(F.try_sum(e.value).alias(e.value))
 
 
+def _drawn(e: Emits) -> Column:
+    """MD5 of an emitted row's values and weight as text."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in [*e.values, *([e.weight] if e.weight else [])]]))
+
+
 @aggregator("sample", params=1)
 def _sample(e: Emits) -> DataFrame:
     """n emitted rows of each index, chosen by a hash: the same ones in every run."""
-    key = F.xxhash64(*e.values, *([e.weight] if e.weight else []))
-    return first_rows(e.df, e.index, [key, *[F.col(v) for v in e.values]], e.params[0]).select(*e.index, *e.values)
+    return first_rows(e.df, e.index, [_drawn(e), *[F.col(v) for v in e.values]], e.params[0]).select(*e.index, *e.values)
 
 
 @aggregator("weightedsample", params=1, weight="float")
 def _weighted_sample(e: Emits) -> DataFrame:
     """n rows of each index, likelier by weight (exponential keys over a hash)."""
-    u = (F.pmod(F.xxhash64(*e.values, e.weight), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    u = (F.conv(F.substring(_drawn(e), 1, 13), 16, 10).cast("double") + 1) / float((1 << 52) + 1)
     w = F.col(e.weight)
     return first_rows(e.df.where(w > 0), e.index, [F.ln(u) / w * -1, *[F.col(v) for v in e.values]], e.params[0]).select(*e.index, *e.values, e.weight)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.builtin import BUILTIN
+from ..functions.registry import Registry
 from ..lang.compiler import compile_program
+from ..lang.types import INT, STRING, Tuple
+from ..operators.aggregators import aggregator, grouped
 from ..sources import sinks
+from ..streaming.tables import streamed
 from .program import Program
 
 QUERIES: dict = {}
@@ -203,7 +210,7 @@ def unique_approximate(spark, sf_dir):
     return p.emit("t", "user_id", index=["event_type"]).run()["t"]
 
 
-@query("sampled_orders")
+@query("sampled_orders", "select status, value from (select o_orderstatus status, o_orderkey as value, row_number() over (partition by o_orderstatus order by md5(o_orderkey::varchar), o_orderkey) r from orders) where r <= 5")
 def sampled_orders(spark, sf_dir):
     p = Program(_table(spark, sf_dir, "orders")).table("t", "sample", 5, index=["status"])
     return p.emit("t", "o_orderkey", index=["o_orderstatus"]).run()["t"]
@@ -213,3 +220,136 @@ program("zipped_names", "region", "t: table collection[name: string] of same: bo
         "select r_name as name, true same from region")
 program("formatted", "region", 't: table text of s: string;\nemit t <- format("%03d|%-12s|%x", input.r_regionkey, input.r_name, 255);',
         "select format('{:03d}|{:<12s}|ff', r_regionkey, r_name) s from region")
+
+
+# Every other function and statement
+def _members(aliases: dict[str, str]) -> str:
+    return ", ".join(f"{n}: {t}" for n, t in aliases.items())
+
+
+def per_row(name: str, source: str, key: str, head: str, members: dict[str, tuple[str, str, str]], rounded: int | None = None) -> None:
+    """A program that emits one tuple per row; members: name -> (type, expression, DuckDB SQL)."""
+    text = f"t: table collection[key: int] of {{ {_members({n: t for n, (t, _, _) in members.items()})} }};\n{head}\nemit t[input.{key}] <- {{ {', '.join(e for _, e, _ in members.values())} }};"
+    floats = [n for n, (t, _, _) in members.items() if t == "float"] if rounded is not None else []
+    shown = ", ".join(f"{f'round({sql}, {rounded})' if n in floats else sql} as {n}" for n, (_, _, sql) in members.items())
+    program(name, source, text, f"select {key}::bigint as key, {shown} from {source}", post=_rounded(*floats, digits=rounded or 0) if floats else None)
+
+
+_U = "(p_size / 51.0::double)"
+per_row("circular_functions", "part", "p_partkey", "u: float = float(input.p_size) / 51.0;", {
+    n: ("float", f"{n}(u)", f"{n}({_U})") for n in ("cos", "tan", "acos", "asin", "atan", "sinh", "cosh", "tanh", "asinh", "atanh")
+} | {"arcosh": ("float", "acosh(u + 1.0)", f"acosh({_U} + 1)")}, 6)
+per_row("logarithms_and_powers", "part", "p_partkey", "u: float = float(input.p_size) / 51.0;\nx: float = input.p_retailprice;", {
+    "a": ("float", "ln(x)", "ln(p_retailprice)"), "b": ("float", "log10(x)", "log10(p_retailprice)"), "c": ("float", "log2(x)", "log2(p_retailprice)"), "d": ("float", "log1p(u)", f"ln(1 + {_U})"),
+    "e": ("float", "exp(u)", f"exp({_U})"), "f": ("float", "expm1(u)", f"exp({_U}) - 1"), "g": ("float", "cbrt(x)", "cbrt(p_retailprice)"), "h": ("float", "pow(u, 1.5)", f"pow({_U}, 1.5)"), "i": ("float", "hypot(u, 2.0)", f"sqrt({_U} * {_U} + 4)"),
+    "j": ("float", "signum(x - 1500.0)", "sign(p_retailprice - 1500)::double"), "k": ("float", "todegrees(u)", f"degrees({_U})"), "l": ("float", "toradians(x)", "radians(p_retailprice)"), "m": ("float", "fabs(u - 1.0)", f"abs({_U} - 1)"),
+    "n": ("float", "rint(x)", "round_even(p_retailprice, 0)"), "o": ("float", "ieeeremainder(x, 7.0)", "p_retailprice - 7 * round_even(p_retailprice / 7, 0)"),
+}, 6)
+per_row("units_in_the_last_place", "part", "p_partkey", "", {"u": ("float", "ulp(input.p_retailprice) * 1.0e13", "pow(2::double, floor(log2(p_retailprice)) - 52) * 1e13")}, 6)
+per_row("rounding_of_large_and_infinite", "part", "p_partkey", "x: float = input.p_retailprice * 1.0e18;\nif (input.p_size % 5 == 0) x = Inf; else if (input.p_size % 5 == 1) x = -Inf;", {
+    n: ("bool", f"{f}(x) == x", "true") for n, f in (("a", "floor"), ("b", "ceil"), ("c", "round"), ("d", "trunc"))
+} | {"back": ("float", "floor(x)", "case p_size % 5 when 0 then 'inf'::double when 1 then '-inf'::double else p_retailprice * 1e18 end")})
+_X = "(case p_size % 4 when 0 then 'nan'::double when 1 then 'inf'::double when 2 then 5e-320::double else p_retailprice end)"
+per_row("kinds_of_floats", "part", "p_partkey", "x: float = input.p_retailprice;\nif (input.p_size % 4 == 0) x = NaN; else if (input.p_size % 4 == 1) x = Inf; else if (input.p_size % 4 == 2) x = 5.0e-320;", {
+    "a": ("bool", "isnan(x)", f"isnan({_X})"), "b": ("bool", "isinf(x)", f"isinf({_X})"), "c": ("bool", "isfinite(x)", f"isfinite({_X})"), "d": ("bool", "isnormal(x)", "p_size % 4 = 3"),
+})
+per_row("larger_and_smaller", "part", "p_partkey", "", {
+    "a": ("int", "max(input.p_size, 20)", "greatest(p_size, 20)::bigint"), "b": ("int", "min(input.p_size, 20)", "least(p_size, 20)::bigint"), "c": ("float", "max(input.p_retailprice, 1500.5)", "greatest(p_retailprice, 1500.5)::double"),
+    "d": ("float", "min(input.p_retailprice, 1500.5)", "least(p_retailprice, 1500.5)::double"), "e": ("string", 'max(input.p_brand, "Brand#3")', "greatest(p_brand, 'Brand#3')"), "f": ("string", 'min(input.p_brand, "Brand#3")', "least(p_brand, 'Brand#3')"),
+})
+program("random_numbers_in_range", "part", "t: table sum of { n: int, low: int };\nr: float = rand();\nk: int = nrand(6);\nif (r >= 0.0 && r < 1.0 && k >= 0 && k < 6) emit t <- { 1, 0 }; else emit t <- { 0, 1 };", "select count(*) n, 0::bigint as low from part")
+per_row("conversions_of_text", "orders", "o_orderkey", "price: string = string(input.o_totalprice);", {
+    "a": ("float", "float(price)", "o_totalprice"), "b": ("bool", 'float("x" + price) == 0.0 or not def(float("x" + price))', "true"), "c": ("int", 'int("0x" + string(input.o_custkey, 16))', "o_custkey"), "d": ("int", 'int("0" + string(input.o_custkey, 8))', "o_custkey"),
+    "e": ("bool", 'bool("True")', "true"), "f": ("bool", "bool(input.o_orderstatus)", "false"), "g": ("int", "int(3.99) + int(-3.99) + int(true)", "1::bigint"), "h": ("float", "float(input.o_custkey)", "o_custkey::double"),
+})
+per_row("conversions_of_bytes", "customer", "c_custkey", "b: bytes = bytes(input.c_name);", {
+    "a": ("int", 'int(b, "fixed32-big")', "('0x' || hex(c_name)[1:16])::bigint"), "b": ("string", 'string(b, "UTF-8")', "c_name"), "c": ("int", "len(b)", "octet_length(c_name::blob)::bigint"), "d": ("string", "string(fingerprint(input.c_custkey))", "lower(to_hex(c_custkey))"),
+    "e": ("int", "int(fingerprint(string(input.c_custkey)))", "c_custkey"), "f": ("int", 'int(fingerprint(string(input.c_custkey, 16), 16))', "c_custkey"), "g": ("int", "len(bytes(fingerprint(input.c_custkey)))", "8::bigint"), "h": ("int", "int(fingerprint(b))", "('0x' || hex(c_name)[1:16])::bigint"),
+})
+per_row("finds_in_bytes", "customer", "c_custkey", 'b: bytes = bytes(input.c_name);\nz: bytes = bytes("0");', {
+    "first": ("int", "bytesfind(z, b)", "instr(c_name, '0') - 1"), "last": ("int", "bytesrfind(z, b)", "case when instr(c_name, '0') = 0 then -1 else length(c_name) - instr(reverse(c_name), '0') end"), "none": ("int", 'bytesfind(bytes("zz"), b)', "-1::bigint"),
+    "back": ("string", "string(frombase64(tobase64(b, true), true))", "c_name"),
+})
+per_row("matches_and_places", "customer", "c_custkey", 'p: array of int = matchposns("([A-Za-z]+)#?([0-9]+)", input.c_name);\nn: array of string = sawn(2, input.c_name, "[0-9]");', {
+    "a": ("int", "p[0]", "0::bigint"), "b": ("int", "p[5]", "length(c_name)::bigint"), "c": ("int", "len(p)", "6::bigint"), "d": ("string", "n[0] + n[1]", "regexp_extract(c_name, '([0-9])([0-9])', 0)"), "e": ("int", 'len(matchposns("zzz", input.c_name))', "0::bigint"),
+})
+per_row("fields_of_lines", "nation", "n_nationkey", 'f: array of string = splitcsv(input.n_name + ",1,\\"x,y\\"\\nsecond,2,z", {1, 3});', {
+    "a": ("string", "f[0]", "n_name"), "b": ("string", "f[1]", "'x,y'"), "c": ("string", "f[2]", "'second'"), "d": ("int", "len(f)", "4::bigint"),
+})
+per_row("arrays_and_maps", "nation", "n_nationkey", 'm: map[string] of int = { "b": 2, "a": 1 };\nm[input.n_name] = input.n_nationkey;\nw: array of string = sort({ input.n_name, "M", "B" });\nx: array of int = sortx({ input.n_nationkey, 7, 3 });', {
+    "a": ("bool", 'haskey(m, "a") and haskey(m, input.n_name) and not haskey(m, "zz")', "true"), "b": ("int", "len(keys(m))", "3::bigint"), "c": ("int", "m[input.n_name]", "n_nationkey::bigint"), "d": ("string", "w[0] + w[2]", "least(n_name, 'B') || greatest(n_name, 'M')"),
+    "e": ("int", "x[0]", "case when n_nationkey <= 3 then 0 else 2 end::bigint"), "f": ("bool", "def(m[input.n_name]) and not def(w[9])", "true"), "g": ("string", "keys(m)[$ - 1]", "greatest(n_name, 'b')"),
+})
+per_row("expressions", "nation", "n_nationkey", "type Pair = { a: int, b: int };\np: Pair = { input.n_nationkey, 2 };\nlen(input.n_name);\nassert(p.b == 2);", {
+    "a": ("int", "?{ y := p.a + 1; result y * y; }", "((n_nationkey + 1) * (n_nationkey + 1))::bigint"), "b": ("int", "-p.a + +p.b", "(2 - n_nationkey)::bigint"), "c": ("bool", "!(p.a < 3) || p.b == 0", "n_nationkey >= 3"),
+    "d": ("string", "regex(int, 10)", "'[+-]?[0-9]+'"), "e": ("bool", 'def(getenv("NO_SUCH_NAME"))', "false"), "f": ("bool", "fingerprintof(p.a) == fingerprint(p.a)", "true"), "g": ("bool", "now() > 1000", "true"),
+})
+_TS = "timezone('{z}', timezone('UTC', ts))"
+_NY, _PT = _TS.format(z="America/New_York"), _TS.format(z="PST8PDT")
+per_row("parts_of_times", "events", "event_id", 'z: string = "America/New_York";', {
+    "a": ("int", "yearof(input.ts)", f"year({_PT})"), "b": ("int", "dayofmonth(input.ts)", f"day({_PT})"), "c": ("int", "dayofyear(input.ts)", f"dayofyear({_PT})"), "d": ("int", "secondof(input.ts)", f"second({_PT})"),
+    "e": ("int", "yearof(input.ts, z)", f"year({_NY})"), "f": ("int", "dayofmonth(input.ts, z)", f"day({_NY})"), "g": ("int", "dayofyear(input.ts, z)", f"dayofyear({_NY})"), "h": ("int", "hourof(input.ts, z)", f"hour({_NY})"), "i": ("int", "monthof(input.ts, z)", f"month({_NY})"),
+    "j": ("int", "dayofweek(input.ts, z)", f"dayofweek({_NY}) + 1"), "k": ("int", "minuteof(input.ts, z)", f"minute({_NY})"),
+})
+per_row("truncated_times", "events", "event_id", "", {
+    n: ("time", f"truncto{n}(input.ts{a})", f"epoch_us(timezone('{z}', date_trunc('{n}', {_TS.format(z=z)})))") for n, a, z in (("second", "", "PST8PDT"), ("minute", "", "PST8PDT"), ("hour", ', "America/New_York"', "America/New_York"), ("day", ', "America/New_York"', "America/New_York"), ("month", "", "PST8PDT"), ("year", "", "PST8PDT"))
+})
+per_row("weeks_later", "orders", "o_orderkey", "d: time = input.o_orderdate;", {"a": ("time", 'addweek(d, 2, "UTC")', "epoch_us(o_orderdate + interval 14 day)"), "b": ("time", "time(string(d))", "epoch_us(o_orderdate)"), "c": ("time", 'time(string(d, "UTC"), "UTC")', "epoch_us(o_orderdate)")})
+
+# Statements
+program("loops_left_early", "nation", "t: table sum[k: string] of n: int;\ni: int;\nfor (i = 0; i < 10; i++) { if (i == 3) break; emit t[\"for\"] <- i; }\ndo { i++; } while (i < input.n_nationkey)\nemit t[\"do\"] <- i;\nfor (i = 0; i < 6; i++) { if (i % 2 == 0) continue; emit t[\"odd\"] <- i; }",
+        "select k, sum(n)::bigint n from (select 'for' k, 3 n from nation union all select 'do', greatest(4, n_nationkey) from nation union all select 'odd', 9 from nation) group by 1")
+program("pairs_of_elements", "nation", 't: table sum[region: int] of n: int;\na: array of string = sawzall(input.n_name, "[A-Z]");\nb: array of string = sawzall("AEIOU", "[A-Z]");\nwhen (i: each int; j: some int; a[i] == b[j]) emit t[input.n_regionkey] <- 1;',
+        "select n_regionkey::bigint region, sum(length(n_name) - length(translate(n_name, 'AEIOU', '')))::bigint n from nation group by 1 having sum(length(n_name) - length(translate(n_name, 'AEIOU', ''))) > 0")
+program("stderr_of_regions", "region", "emit stderr <- input.r_name;", "select r_name as value from region", table="stderr")
+program("output_of_regions", "region", "emit output <- bytes(input.r_name);", "select r_name as value from region", table="output", post=lambda df: df.withColumn("value", F.col("value").cast("string")))
+program("quantile_of_floats", "orders", "t: table quantile(5)[status: string] of q: float;\nemit t[input.o_orderstatus] <- input.o_totalprice;",
+        _QUANTILE.format(idx="o_orderstatus", x="o_totalprice", source="orders", n=5, out="g.idx status,", show="format('{:.2f}', m.x)"), post=lambda df: df.withColumn("q", F.array_join(F.transform("q", lambda x: F.coalesce(F.format_string("%.2f", x), F.lit("null"))), ",")))
+program("weighted_sample_of_orders", "orders", "t: table weightedsample(5)[status: string] of k: int weight w: float;\nemit t[input.o_orderstatus] <- input.o_orderkey weight float(input.o_custkey);",
+        "select status, k, weight from (select o_orderstatus status, o_orderkey k, o_custkey::double weight, row_number() over (partition by o_orderstatus order by -ln((('0x' || substr(md5(o_orderkey::varchar || '|' || o_custkey || '.0'), 1, 13))::bigint + 1) / 4503599627370497.0::double) / o_custkey, o_orderkey) r from orders) where r <= 5")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as text lines, one record each."""
+    return _table(spark, sf_dir, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+
+
+@query("lines_as_input", "select n_regionkey::varchar as region, count(*) n, sum(length(n_name))::bigint letters from nation group by 1")
+def lines_as_input(spark, sf_dir):
+    text = "t: table sum[region: string] of { n: int, letters: int };\nf: array of string = splitcsvline(input);\nemit t[f[2]] <- { 1, len(f[1]) };"
+    return compile_program(text, _lines(spark, sf_dir))["t"]
+
+
+@query("included_and_registered", "select n_name as name, 2 * n_regionkey::bigint twice from nation")
+def included_and_registered(spark, sf_dir):
+    registry = Registry(BUILTIN)
+    registry.function("twice", [INT], INT)(lambda x: x * 2)
+    protos = {"nation.proto": {"Nation": Tuple(("n_nationkey", "n_name", "n_regionkey"), (INT, STRING, INT))}}
+    text = 'include "tables"\nproto "nation.proto"\nn: Nation = input;\nemit t[n.n_name] <- twice(n.n_regionkey);'
+    return compile_program(text, _table(spark, sf_dir, "nation"), registry, protos, {"tables": "t: table collection[name: string] of twice: int;\n"}.get)["t"]
+
+
+@query("tuple_lines", "select 't[' || l_returnflag || '] = { ' || count(*) || ', ' || sum(trunc(l_quantity)::bigint) || ' }' line from lineitem group by l_returnflag")
+def tuple_lines(spark, sf_dir):
+    made = compile_program("t: table sum[flag: string] of { n: int, q: int };\nemit t[input.l_returnflag] <- { 1, int(input.l_quantity) };", _table(spark, sf_dir, "lineitem"))["t"]
+    return sinks.ordered(sinks.rendered(made, "t", ["flag"]))
+
+
+@query("own_aggregator", "select l_returnflag flag, max(l_quantity) - min(l_quantity) as spread from lineitem group by 1")
+def own_aggregator(spark, sf_dir):
+    @aggregator("spread", of=("int", "float"))
+    def _spread(e):
+        """The largest value less the smallest."""
+        return grouped(e.df, e.index, (F.max(e.value) - F.min(e.value)).alias(e.value))
+
+    return compile_program("t: table spread[flag: string] of spread: float;\nemit t[input.l_returnflag] <- input.l_quantity;", _table(spark, sf_dir, "lineitem"))["t"]
+
+
+@query("streamed_sums", "select event_type kind, count(*) n from events group by 1")
+def streamed_sums(spark, sf_dir):
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    made = streamed(stream, "sum", {"kind": F.col("event_type")}, {"n": F.lit(1)})
+    name = f"streamed_{uuid.uuid4().hex}"
+    made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
