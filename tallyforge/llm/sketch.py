@@ -265,7 +265,10 @@ def fingerprints(docs: DataFrame, attempts: int = 9) -> DataFrame:
     parts = [names[0] for names in FOUND.values()]
     todo, tried = pairs, []
     for attempt in range(MOST_SIZES):
-        got = Cut(_compared(docs, todo, once, attempt, attempt >= attempts), "sketches").df
+        made = _compared(docs, todo, once, attempt, attempt >= attempts)
+        # both sketches of a row in one column, as equal cells that lie together compress
+        cut = Cut(made.select("*", F.array("fingerprint", "edited_fingerprint").alias("shown")).drop("fingerprint", "edited_fingerprint"), "sketches")
+        got = cut.df.select("*", F.col("shown")[0].alias("fingerprint"), F.col("shown")[1].alias("edited_fingerprint")).drop("shown")
         tried.append(got)
         if attempt == 0:
             open_ = got.select("g1", "g2", *[F.col(c).isNotNull().alias(f"has_{c}") for c in parts])
