@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Cut, ranked, table
 
-SLICE, HALVINGS, SLICES, SWEEPS = 160, 6, 6, 3
+SLICE, HALVINGS, SLICES, SWEEPS = 160, 6, 6, 2
 #: A retry sweeps once more than the attempt before it, so many times more at most.
 MORE_SWEEPS = 3
 #: So many sizes of a published sketch are tried at most; the chance that one fails falls with its size.
@@ -78,8 +78,8 @@ def _place(key: Column, sub: Column, cells: Column) -> Column:
 
 
 def _cells_for(n: Column, attempt: int) -> Column:
-    """Cells of a subtable for up to ``n`` differing digests: 3 subtables hold 2.4 to 4.8 cells a digest."""
-    wanted = F.greatest(F.lit(4.0), 0.8 * n)
+    """Cells of a subtable for up to ``n`` differing digests: 3 subtables hold 3 to 6 cells a digest, and 96 at least."""
+    wanted = F.greatest(F.lit(32.0), 1.0 * n)
     return F.pow(F.lit(2.0), F.ceil(F.log2(wanted)) + 2 * attempt).cast("long")
 
 
