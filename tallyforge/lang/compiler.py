@@ -8,6 +8,7 @@ an emit site: a frame, a guard, and columns. What columns cannot express raises
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -156,6 +157,8 @@ class Compiler:
         raise TypeProblem(f"line {n.line}: no type")
 
     def _table_type(self, n: Node) -> Table:
+        if n.options:
+            warnings.warn(f"line {n.line}: {', '.join(n.options)} of a table is read and not applied; sinks say where results go", stacklevel=2)
         how = AGGREGATORS.get(n.name)
         if how is None:
             raise TypeProblem(f"line {n.line}: no aggregator {n.name}")

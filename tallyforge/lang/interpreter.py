@@ -2,14 +2,18 @@
 values while they emit, ``while``, ``do``, recursion.
 
 Each record's program runs in Python, in Arrow batches; its emits become rows (table, index, value,
-weight) of text, which are typed again and go to the same aggregator plans as all others.
+weight) of text, which are typed again and go to the same aggregator plans as all others. What depends
+on the record alone is a column before that: values of the program's outermost declarations, and calls,
+a user's functions among them.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..plans.program import EmitSite, result
 from .syntax import Node, parse
-from .types import BYTES, FLOAT, INT, SCALARS, Array, Map, Scalar, Table, Tuple, TypeProblem, from_spark, spark_type
+from .types import BYTES, FLOAT, INT, SCALARS, Array, Map, Scalar, Table, Tuple, TypeProblem, Unsupported, from_spark, spark_type
 
 MAX_STEPS = 10_000_000
 
@@ -108,14 +112,38 @@ def _saw(s, *patterns, limit=1):
     return out
 
 
-_real = lambda f: lambda x: f(float(x))
+def _real(f):
+    """A function of a float; NaN outside its domain, and infinite where it grows too large."""
+
+    def call(x):
+        try:
+            return f(float(x))
+        except OverflowError:
+            return math.copysign(math.inf, x)
+        except ValueError:
+            return math.nan
+
+    return call
+
+
+def _pow(a, b):
+    a, b = float(a), float(b)
+    sign = math.copysign(1.0, a) if b % 2 == 1 else 1.0
+    try:
+        return math.pow(a, b)
+    except OverflowError:
+        return sign * math.inf
+    except ValueError:
+        return sign * math.inf if a == 0 else math.nan
+
+
 FUNCTIONS = {
     "len": len, "lowercase": str.lower, "uppercase": str.upper, "strfind": lambda p, s: s.find(p), "strrfind": lambda p, s: s.rfind(p),
     "strreplace": lambda s, a, b, every: s.replace(a, b) if every else s.replace(a, b, 1), "match": lambda p, s: bool(re.search(p, s)),
     "matchstrs": lambda p, s: [*((m := re.search(p, s)) and (m[0], *(g or "" for g in m.groups())) or ())],
     "saw": lambda s, *p: _saw(s, *p), "sawn": lambda n, s, *p: _saw(s, *p, limit=n), "sawzall": lambda s, *p: [x for x in _saw(s, *p, limit=len(s) + 1) if x],
     "bool": lambda x: x if isinstance(x, bool) else x[:1].lower() == "t", "int": _int, "float": _float, "string": _string, "time": _int, "fingerprint": _int,
-    "bytes": lambda x: x.encode() if isinstance(x, str) else x, "abs": abs, "fabs": abs, "max": max, "min": min, "pow": lambda a, b: float(a) ** b,
+    "bytes": lambda x: x.encode() if isinstance(x, str) else x, "abs": abs, "fabs": abs, "max": max, "min": min, "pow": _pow,
     "sqrt": _real(lambda x: math.sqrt(x) if x >= 0 else math.nan), "ln": _real(lambda x: math.log(x) if x > 0 else -math.inf if x == 0 else math.nan),
     "log10": _real(lambda x: math.log10(x) if x > 0 else -math.inf if x == 0 else math.nan), "exp": _real(math.exp), "sin": _real(math.sin), "cos": _real(math.cos), "tan": _real(math.tan),
     "floor": _real(_round(math.floor)), "ceil": _real(_round(math.ceil)), "round": _real(_round(lambda x: math.floor(x + 0.5))), "trunc": _real(_round(math.trunc)),
@@ -132,9 +160,9 @@ class Interpreter:
         self.tree, self.tables = tree, tables
         self.statics: dict | None = None
 
-    def run(self, record) -> list[tuple]:
+    def run(self, record, lifted: dict | None = None) -> list[tuple]:
         self.emits, self.steps, self.lengths = [], 0, []
-        scopes = [{"input": record}, {}]
+        scopes = [{"input": record} | (lifted or {}), {}]
         try:
             for n in self.tree:
                 self.do(n, scopes)
@@ -394,31 +422,128 @@ def _names(node) -> Iterator[str]:
             yield from _names(x)
 
 
+#: Calls that stay where they are: they act, or differ each time.
+_STAY = frozenset(("assert", "def", "rand", "nrand"))
+
+
+def _carried(t) -> bool:
+    """Whether values of a type can be handed over to the interpreter."""
+    if isinstance(t, Array):
+        return _carried(t.of)
+    if isinstance(t, Map):
+        return isinstance(t.key, Scalar) and t.key.name in ("string", "int") and _carried(t.value)
+    return isinstance(t, Scalar) and t.name in ("int", "float", "string", "bool", "bytes", "time", "fingerprint")
+
+
+def _arrived(v, t):
+    """A value of a type, from JSON."""
+    if v is None:
+        return None
+    if isinstance(t, Array):
+        return [_arrived(x, t.of) for x in v]
+    if isinstance(t, Map):
+        return {int(k) if t.key == INT else k: _arrived(x, t.value) for k, x in v.items()}
+    return float(v) if t == FLOAT else base64.b64decode(v) if t == BYTES else v
+
+
+class _Lift:
+    """Turns what depends on the record alone into columns of the compiler's frame, and into names in the tree."""
+
+    def __init__(self, tree: list[Node], checker, path):
+        from .compiler import assigned
+
+        self.checker, self.path = checker, path
+        self.changed, self.declared = assigned(tree), Counter(_names(tree))
+        self.calls = checker.registry.names() | {"regex", "convert"}
+        self.free, self.found = {"input"} - set(self.declared), []
+
+    def fixed(self, n) -> bool:
+        """Whether an expression depends on the record and on lifted values alone."""
+        if isinstance(n, (list, tuple)):
+            return all(map(self.fixed, n))
+        if not isinstance(n, Node):
+            return True
+        if n.kind == "name":
+            return n.name in self.free or not self.declared[n.name] and (n.name in self.checker.types or self.checker.registry.constant(n.name) is not None)
+        if n.kind == "call":
+            return n.of.kind == "name" and not self.declared[n.of.name] and n.of.name in self.calls - _STAY and self.fixed(n.args)
+        return n.kind not in ("function", "block_value", "length") and all(map(self.fixed, n.at.values()))
+
+    def name(self, v, line: int) -> Node:
+        self.found.append(v)
+        return Node("name", line, {"name": f"${len(self.found) - 1}"})
+
+    def declaration(self, n: Node) -> bool:
+        """An outermost declaration, by the compiler; false if it stays as it is."""
+        from .compiler import V, mentions
+
+        if n.value is None or n.value.kind == "function" or not self.fixed(n.value):
+            return False
+        if not mentions(n.value, "call") and (n.type is None or not mentions(n.value, "name")):
+            return False
+        try:
+            self.checker.statement(n, self.checker.env, self.path)
+        except Unsupported:
+            return False
+        v = self.checker.env[n.name]
+        if self.declared[n.name] == 1 and n.name not in self.changed and isinstance(v, V):
+            self.free.add(n.name)
+        else:
+            del self.checker.env[n.name]
+        if not isinstance(v, V) or not _carried(v.type):
+            return False
+        n.at |= {"type": None, "value": self.name(v, n.line)}
+        return True
+
+    def calls_in(self, n):
+        """The tree, with calls on lifted values, or that only columns know, replaced where that can be."""
+        from .compiler import uses
+
+        if isinstance(n, (list, tuple)):
+            return type(n)(map(self.calls_in, n))
+        if not isinstance(n, Node):
+            return n
+        if n.kind == "call" and n.of.kind == "name" and self.fixed(n) and (n.of.name not in FUNCTIONS or any(uses(n.args, x) for x in self.free)):
+            v = self.path.frame.bind(self.checker.expr(n, self.checker.env, self.path))
+            if _carried(v.type):
+                return self.name(v, n.line)
+        n.at = {k: self.calls_in(x) for k, x in n.at.items()}
+        return n
+
+
 def interpreted(text: str, df: DataFrame, registry, protos, include) -> dict[str, DataFrame]:
     """The results of a program, run record by record."""
-    from .compiler import Compiler
+    from .compiler import Compiler, Path
 
     tree = parse(text, include)
     checker = Compiler(df, registry, protos, include)
+    path = Path(checker.top)
+    lift = _Lift(tree, checker, path)
     for n in tree:
         if n.kind in ("type", "proto") or n.kind == "decl" and n.type is not None and n.type.kind == "table":
             checker.statement(n, checker.env, None)
+        elif not (n.kind == "decl" and lift.declaration(n)):
+            lift.calls_in(n)
     unknown = set(_called(tree, set(_names(tree)))) - set(FUNCTIONS) - {"def"}
     if unknown:
-        raise TypeProblem(f"programs that run row by row cannot call {', '.join(sorted(unknown))}")
+        raise TypeProblem(f"programs that run row by row cannot call {', '.join(sorted(unknown))} with values that the loops carry")
     tables = dict(checker.tables)
     emitted = {t for t in _emitted(tree)}
     missing = emitted - set(tables)
     if missing:
         raise TypeProblem(f"no table {', '.join(sorted(missing))}")
     plain = df.schema.fieldNames() == ["value"] and from_spark(df.schema["value"].dataType) in (SCALARS["string"], BYTES)
+    types, lifted = [v.type for v in lift.found], "__lifted"
+    if types:
+        made = F.to_json(F.struct(*[v.col.alias(str(i)) for i, v in enumerate(lift.found)]), {"ignoreNullFields": "false"})
+        df = path.frame.df.select(*[F.col(f"`{c}`") for c in df.columns], made.alias(lifted))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = Interpreter(tree, tables)
         for frame in frames:
-            rows = []
-            for record in frame["value"] if plain else frame.to_dict("records"):
-                rows += machine.run(record)
+            rows, values = [], frame.pop(lifted) if types else [None] * len(frame)
+            for record, known in zip(frame["value"] if plain else frame.to_dict("records"), values):
+                rows += machine.run(record, known and {f"${i}": _arrived(v, t) for (i, t), v in zip(enumerate(types), json.loads(known).values())})
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(("table", "index", "members", "weight"), columns)})
 

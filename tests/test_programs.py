@@ -228,6 +228,58 @@ def test_columns_and_rows_agree(spark, text):
     assert rows(by_column) == rows(by_row)
 
 
+ROW_BY_ROW = "\ni: int;\nfor (i = 0; i < 3; i++) { if (i == 1) break; }"
+LIFTED = {
+    "times": 't: table collection[k: string] of v: string;\nf: array of string = splitcsvline(input);\nat: time = time(f[0]);\nemit t["hour"] <- string(hourof(at, "UTC"));\nemit t["day"] <- string(trunctoday(at));\nemit t["format"] <- formattime("%Y-%m-%d", at);\nemit t["rest"] <- f[1];',
+    "implicit": 't: table sum[k: string] of v: int;\ns: string = splitcsvline(input)[0];\nat: time = s;\nemit t[string(addday(at, 1))] <- yearof(at);',
+    "values": 't: table collection[k: string] of v: string;\nb: bytes = bytes(input);\nx: float = float(splitcsvline(input)[1]);\nemit t["b"] <- string(tobase64(b, false));\nemit t["x"] <- string(x) + " " + string(cbrt(x));\nemit t["p"] <- string(pow(x, 400.0)) + " " + string(pow(0.0 * x, -1.0)) + " " + string(exp(x * 100.0));',
+}
+
+
+@pytest.mark.parametrize("name", LIFTED)
+def test_calls_on_the_record_alone_are_columns_before_the_loops(spark, name):
+    lines = ["Sun Feb 2 23:40:08 PST 2003,7.5", "Tue Jul 1 01:02:03 PDT 2008,-8", "none,x", "", "Sat Feb 29 12:00:00 PST 2020,NaN"]
+    by_column, by_row = run(spark, LIFTED[name], lines)["t"], run(spark, LIFTED[name] + ROW_BY_ROW, lines)["t"]
+    assert "MapInPandas" in by_row._jdf.queryExecution().toString() and rows(by_column) and rows(by_column) == rows(by_row)
+
+
+def test_lifting_keeps_what_loops_change(spark):
+    text = """
+        t: table sum[k: string] of v: int;
+        h: int = hourof(time(int(input)), "UTC");
+        twice: int = h * int(input);
+        n: int = 0;
+        while (h > 0) { h--; n = n + dayofmonth(time(int(input)), "UTC"); }
+        late: int = len(splitcsvline(input)) + h;
+        emit t["n"] <- n;
+        emit t["late"] <- late;
+        f := function(twice: string): int { return len(twice); };
+        emit t["shadow"] <- f("abc");"""
+    made = run(spark, text, [str(5 * 3_600_000_000), "x", str(25 * 3_600_000_000)])
+    assert dict(rows(made["t"])) == {"n": 5 * 1 + 1 * 2, "late": 2, "shadow": 6}
+
+
+def test_a_users_function_row_by_row(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.functions.builtin import BUILTIN
+    from tallyforge.functions.registry import Registry
+    from tallyforge.lang.types import INT, STRING
+
+    own = Registry(BUILTIN)
+    own.function("vowels", [STRING], INT)(lambda s: F.length(F.regexp_replace(F.lower(s), "[^aeiou]", "")).cast("long"))
+    made = run(spark, "t: table sum of v: int;\nk: int = 0;\nwhile (true) { k++; if (k >= vowels(input)) break; }\nemit t <- k;", ["banana", "Oslo"], registry=own)
+    assert rows(made["t"]) == [(5,)]
+    with pytest.raises(TypeProblem):
+        run(spark, "t: table sum of v: int;\nw: string = input;\nwhile (len(w) > 3) { w = w + string(vowels(w)); break; }\nemit t <- 1;", ["banana"], registry=own)
+
+
+def test_clauses_that_do_not_apply_are_named(spark):
+    with pytest.warns(UserWarning, match="file"):
+        made = run(spark, 't: table sum of v: int file("x.txt");\nemit t <- 1;', ["a"])
+    assert rows(made["t"]) == [(1,)]
+
+
 def test_a_constant_pattern_must_compile(spark):
     for text in ('t: table sum of int;\nif (match("(", input)) emit t <- 1;', 't: table collection of string;\nemit t <- matchstrs("[", input)[0];', 't: table sum of int;\nemit t <- matchposns("(", input)[0];'):
         with pytest.raises(TypeProblem):
